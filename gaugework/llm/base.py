@@ -178,3 +178,23 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
         for j in range(run):
             h = mix(h * _BASE + words[j:n - run + 1 + j])
     return h
+
+
+class Remembered:
+    """What was worked out for distinct keys, in two generations of bounded size: a key that was not asked for during a whole generation drops out."""
+
+    def __init__(self, most: int):
+        self.most, self.known, self.older = most, {}, {}
+
+    def missing(self, keys) -> list:
+        """Keys that have to be worked out and put into `known`; the others are there afterwards."""
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        known, older, out = self.known, self.older, []
+        for k in keys:
+            if k not in known:
+                if k in older:
+                    known[k] = older[k]
+                else:
+                    out.append(k)
+        return out

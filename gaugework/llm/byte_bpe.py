@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugework.llm import base
 
@@ -58,8 +59,7 @@ class Codec:
 
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.pieces = base.Remembered(REMEMBERED)
         pairs, out = [], []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -122,33 +122,26 @@ class Codec:
         return np.array([self.ranks[word[i:end[i]]] for i in start if alive[i]], "<u4")
 
     def learn(self, pieces: set[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
         todo: list[str] = []
-        for p in pieces:
-            if p in self.known:
-                pass
-            elif p in self.older:
-                self.known[p] = self.older[p]
+        for p in self.pieces.missing(pieces):
+            word = p.encode()
+            rank = self.ranks.get(word)
+            if rank is not None:
+                self.pieces.known[p] = rank.to_bytes(4, "little")
+            elif len(word) > LONGEST_IN_SQL:
+                self.pieces.known[p] = self.merge_long(word).tobytes()
             else:
-                word = p.encode()
-                rank = self.ranks.get(word)
-                if rank is not None:
-                    self.known[p] = rank.to_bytes(4, "little")
-                elif len(word) > LONGEST_IN_SQL:
-                    self.known[p] = self.merge_long(word).tobytes()
-                else:
-                    todo.append(p)
+                todo.append(p)
         for i in range(0, len(todo), WORDS_A_QUERY):
             part = todo[i:i + WORDS_A_QUERY]
             for p, ids in zip(part, self.contract([p.encode() for p in part]), strict=True):
-                self.known[p] = ids.tobytes()
+                self.pieces.known[p] = ids.tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         pieces = [self.find(t) for t in texts]
         self.learn(set().union(*pieces))
-        known = self.known.__getitem__
+        known = self.pieces.known.__getitem__
         return [b"".join(map(known, p)) for p in pieces]
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
@@ -193,7 +186,7 @@ def encode(df: DataFrame, vocabulary_path: str, pattern: str, text: str = "text"
     base.ship(spark)
     blob = spark.sparkContext.broadcast(read_vocabulary(vocabulary_path))
     source = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    schema = source.drop("__text").schema.add(out, "array<int>")
+    schema = source.drop("__text").schema.add(out, T.ArrayType(T.IntegerType()))
 
     def run(batches):
         c = codec(blob.value, pattern)
