@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from gaugework.llm import base
 
-#: Queries that one task holds at once, and rows and columns of a tile.
-QUERY_BLOCK, TILE_ROWS, TILE_COLUMNS = 4096, 256, 4096
+#: Queries and candidates of a cell of the grid, and rows and columns of a tile.
+QUERY_BLOCK, SHARD, TILE_ROWS, TILE_COLUMNS = 1024, 16384, 256, 4096
 #: Dimensions that one product may sum: integers up to 127 * 127 * 1024 are exact in float32.
 EXACT_DIMENSIONS = 1024
 
@@ -115,9 +115,8 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_
     base.ship(spark)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), is_query.alias("is_query"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    n_queries = rows.where("is_query").count()
-    blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    shards = max(1, -(-base.parallelism(spark) // blocks))
+    size = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("queries")).first()
+    blocks, shards = max(1, -(-size["queries"] // QUERY_BLOCK)), max(1, -(-size["n"] // SHARD))
     h = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40))
     dimension = F.size("v").cast("long").alias("dim")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
