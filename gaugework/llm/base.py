@@ -198,3 +198,9 @@ class Remembered:
                 else:
                     out.append(k)
         return out
+
+
+def where_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """df.where(condition) for a condition on costly computed columns. The optimiser would move the filter below the projections that make them and so repeat
+    their expressions, inside lambdas once for each element; it moves none below a column that isn't deterministic."""
+    return df.withColumn("__held", F.monotonically_increasing_id()).where(condition & (F.col("__held") >= 0)).drop("__held")

@@ -22,7 +22,8 @@ def numbered(docs: DataFrame) -> DataFrame:
     numbers in the text, from 0). Rows with a null doc_id or text take no part; exact repeats of a row count once."""
     lines = F.filter(F.transform(line_array(F.col("text")), lambda x, i: F.struct(F.trim(x, F.lit(" \t\r\x0b\x0c")).alias("x"), i.alias("i"))), lambda x: x["x"] != "")
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), lines.alias("l"))
-    return rows.select("doc_id", "version", F.transform("l", lambda x: F.xxhash64(x["x"])).alias("h"), F.transform("l", lambda x: x["i"]).alias("at")).where(F.size("h") >= GRAM)
+    rows = base.where_computed(rows, F.size("l") >= GRAM)
+    return rows.select("doc_id", "version", F.transform("l", lambda x: F.xxhash64(x["x"])).alias("h"), F.transform("l", lambda x: x["i"]).alias("at"))
 
 
 def fingerprints(lines: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     word remains go: earlier documents hold all their lines."""
     rows = without_runs(docs)
     changed = F.col("__runs").isNotNull()
-    rows = rows.where(~changed | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
+    rows = base.where_computed(rows, ~changed | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.col("__text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(changed, F.length("__text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)

@@ -92,7 +92,7 @@ def assess(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """The rows of docs that every rule keeps, with all their columns."""
-    return measured(docs, weights(docs, trusted)).where("__q.kept").drop("__q")
+    return base.where_computed(measured(docs, weights(docs, trusted)), F.col("__q.kept")).drop("__q")
 
 
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
