@@ -1,4 +1,220 @@
-"""Queries of the library's own operators over the driver's tables, and their DuckDB equivalents."""
+"""Queries of the library's own operators over the driver's tables, and their DuckDB equivalents.
 
-QUERIES = {}
-ORACLE_SQL = {}
+The tables hold no measurement text, so adapters derive stations and tenths, format them as lines and parse those again."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gaugework.functions import measurement as m
+from gaugework.operators import blocks, dictionary, render, stats
+from gaugework.operators.positions import number_rows
+from gaugework.sources import generate
+from gaugework.sources.text import count_lines, parse
+from gaugework.storage import shared_folder
+
+BLOCK = 16384
+TARGET = "user_7"
+
+_TENTHS = "cast((cast(round({value} * 100) as bigint) % 1999) - 999 as int)"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _lines(spark: SparkSession, sf_dir: str, table: str, prefix: str, key: str, value: str, *keep: str) -> DataFrame:
+    rows = _table(spark, sf_dir, table)
+    return rows.select(*keep, m.format_line(F.concat(F.lit(prefix), F.col(key).cast("string")), F.expr(_TENTHS.format(value=value))).alias("value"))
+
+
+def event_lines(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    return _lines(spark, sf_dir, "events", "user_", "user_id", "value", *keep)
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse(event_lines(spark, sf_dir))
+
+
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse(_lines(spark, sf_dir, "lineitem", "Supplier_", "l_suppkey", "l_extendedprice"))
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse(_lines(spark, sf_dir, "lineitem", "Part_", "l_partkey", "l_extendedprice"))
+
+
+def parse_measurements(spark, sf_dir):
+    return events(spark, sf_dir)
+
+
+def station_stats_text(spark, sf_dir):
+    return stats.station_stats(suppliers(spark, sf_dir))
+
+
+def station_stats_many(spark, sf_dir):
+    return stats.station_stats(parts(spark, sf_dir))
+
+
+def station_mean_f64(spark, sf_dir):
+    return stats.station_stats_f64(events(spark, sf_dir))
+
+
+def canonical_line(spark, sf_dir):
+    return render.canonical(stats.station_stats(events(spark, sf_dir)))
+
+
+def preview_top10(spark, sf_dir):
+    return render.preview(stats.station_stats(events(spark, sf_dir)))
+
+
+def preview_remainder(spark, sf_dir):
+    return render.remainder(stats.station_stats(events(spark, sf_dir)))
+
+
+def point_lookup(spark, sf_dir):
+    return stats.point_stats(events(spark, sf_dir), TARGET)
+
+
+def point_unknown(spark, sf_dir):
+    return stats.point_totals(events(spark, sf_dir), "nowhere")
+
+
+def point_line(spark, sf_dir):
+    return render.point_text(stats.to_f64(stats.totals_by(events(spark, sf_dir).where(F.col("station") == TARGET))))
+
+
+def total_rows(spark, sf_dir):
+    return stats.grand_total(events(spark, sf_dir))
+
+
+def malformed_rows(spark, sf_dir):
+    bad = ["", "NoDelimiter", ";1.0", "A;", "A;5", "A;1.23", "A;100.0", "A;+1.0", "A;1.0;2.0", "A;nan"]
+    which = F.get(F.array(*map(F.lit, bad)), (F.col("event_id") % 10).cast("int"))
+    lines = event_lines(spark, sf_dir, "event_id").select(F.when(F.col("event_id") % 3 == 0, which).otherwise(F.concat("value", F.lit("\r"))).alias("value"))
+    return count_lines(lines)
+
+
+def station_dictionary(spark, sf_dir):
+    rows = event_lines(spark, sf_dir, "event_id")
+    return dictionary.build(rows.select("event_id", m.station_of(F.col("value")).alias("station")), "event_id")
+
+
+def encode_decode_stats(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    names = dictionary.build(rows)
+    return stats.with_mean(dictionary.stats(dictionary.encode(rows, names), names))
+
+
+def decoded_rows(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    names = dictionary.build(rows)
+    return dictionary.decode(dictionary.encode(rows, names), names)
+
+
+def union_parts(spark, sf_dir):
+    return stats.with_mean(stats.merge_totals(stats.totals_by(events(spark, sf_dir)), stats.totals_by(suppliers(spark, sf_dir))))
+
+
+def _blocks(spark, sf_dir, *order):
+    lines = event_lines(spark, sf_dir, "event_id")
+    if order:
+        lines = number_rows(lines.withColumn("station", m.station_of(F.col("value"))), *order)
+    else:
+        lines = number_rows(lines, "event_id")
+    return blocks.assign(lines, "position", BLOCK)
+
+
+def block_index(spark, sf_dir):
+    found = blocks.index(_blocks(spark, sf_dir))
+    return found.select("block_id", "n_rows", "n_bytes", F.array_join("stations", ",").alias("stations"))
+
+
+def block_skip_stats(spark, sf_dir):
+    return blocks.skip_stats(blocks.index(_blocks(spark, sf_dir, "station", "event_id")), TARGET)
+
+
+def block_point_stats(spark, sf_dir):
+    dealt = _blocks(spark, sf_dir, "station", "event_id")
+    return stats.point_stats(parse(blocks.point_lines(dealt, blocks.index(dealt), TARGET)), TARGET)
+
+
+def block_offsets(spark, sf_dir):
+    index = blocks.index(_blocks(spark, sf_dir))
+    return blocks.running_offsets(index, "block_id", "n_bytes", "offset").select("block_id", "n_bytes", "offset")
+
+
+def parquet_zstd_point(spark, sf_dir):
+    path = f"{shared_folder(spark)}/clustered-{uuid.uuid4().hex}"
+    blocks.write_clustered(events(spark, sf_dir), path)
+    return stats.point_stats(blocks.read_clustered(spark, path), TARGET)
+
+
+def generate_sample(spark, sf_dir):
+    return stats.station_stats(generate.generate(spark, 20_000, 4))
+
+
+def generate_hashed(spark, sf_dir):
+    return stats.station_stats(generate.generate_hashed(spark, 20_000, 1))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        parse_measurements, station_stats_text, station_stats_many, station_mean_f64, canonical_line, preview_top10, preview_remainder, point_lookup, point_unknown, point_line,
+        total_rows, malformed_rows, station_dictionary, encode_decode_stats, decoded_rows, union_parts, block_index, block_skip_stats, block_point_stats, block_offsets,
+        parquet_zstd_point, generate_sample, generate_hashed,
+    )
+}
+
+# ---- DuckDB ----
+
+_E = f"e AS (SELECT event_id, concat('user_', user_id) AS station, {_TENTHS.format(value='value')} AS tenths FROM events)"
+_S = f"s AS (SELECT concat('Supplier_', l_suppkey) AS station, {_TENTHS.format(value='l_extendedprice')} AS tenths FROM lineitem)"
+_P = f"p AS (SELECT concat('Part_', l_partkey) AS station, {_TENTHS.format(value='l_extendedprice')} AS tenths FROM lineitem)"
+_TEXT = "concat(CASE WHEN {0} < 0 THEN '-' ELSE '' END, CAST(abs({0}) // 10 AS VARCHAR), '.', CAST(abs({0}) % 10 AS VARCHAR))"
+_L = f"l AS (SELECT event_id, station, concat(station, ';', {_TEXT.format('tenths')}) AS line FROM e)"
+
+
+def _stats(source: str) -> str:
+    return f"""t AS (SELECT station, min(tenths) AS min_tenths, max(tenths) AS max_tenths, CAST(sum(tenths) AS BIGINT) AS sum_tenths, count(*) AS n FROM {source} GROUP BY station),
+    a AS (SELECT station, min_tenths, CAST(((2*sum_tenths+n) - (((2*sum_tenths+n) % (2*n)) + 2*n) % (2*n)) // (2*n) AS BIGINT) AS mean_tenths, max_tenths, sum_tenths, n FROM t)"""
+
+
+_ALL = "SELECT station, min_tenths, mean_tenths, max_tenths, sum_tenths, n FROM a"
+_SHOWN = f"SELECT station, {_TEXT.format('min_tenths')} AS min, {_TEXT.format('mean_tenths')} AS mean, {_TEXT.format('max_tenths')} AS max, n FROM a"
+
+
+def _dealt(order: str) -> str:
+    return f"""w AS (SELECT station, line, strlen(line) + 1 AS n_bytes, coalesce(sum(strlen(line) + 1) OVER (ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS byte_start FROM l),
+    b AS (SELECT CAST(byte_start // {BLOCK} AS BIGINT) AS block_id, station, n_bytes FROM w)"""
+
+
+ORACLE_SQL = {
+    "parse_measurements": f"WITH {_E} SELECT station, tenths FROM e",
+    "decoded_rows": f"WITH {_E} SELECT station, tenths FROM e",
+    "station_stats_text": f"WITH {_S}, {_stats('s')} {_ALL}",
+    "station_stats_many": f"WITH {_P}, {_stats('p')} {_ALL}",
+    "station_mean_f64": f"WITH {_E}, {_stats('e')} SELECT station, CAST(min_tenths AS DOUBLE) / 10 AS min, CAST(sum_tenths AS DOUBLE) / CAST(n AS DOUBLE) / 10 AS mean, CAST(max_tenths AS DOUBLE) / 10 AS max, n FROM a",
+    "canonical_line": f"WITH {_E}, {_stats('e')}, x AS ({_SHOWN}) SELECT concat('{{', coalesce(string_agg(concat(station, '=', min, '/', mean, '/', max), ', ' ORDER BY station), ''), '}}') AS canonical FROM x",
+    "preview_top10": f"WITH {_E}, {_stats('e')} {_SHOWN} ORDER BY station LIMIT 10",
+    "preview_remainder": f"WITH {_E}, {_stats('e')} SELECT greatest(count(*) - 10, 0) AS n_more, CAST(sum(n) AS BIGINT) AS n_rows FROM a",
+    "point_lookup": f"WITH {_E}, {_stats('e')} {_ALL} WHERE station = '{TARGET}'",
+    "point_unknown": f"WITH {_E} SELECT min(tenths) AS min_tenths, max(tenths) AS max_tenths, CAST(sum(tenths) AS BIGINT) AS sum_tenths, count(tenths) AS n FROM e WHERE station = 'nowhere'",
+    "point_line": f"WITH {_E}, {_stats('e')} SELECT concat(station, ': ', format('{{:.1f}}', CAST(min_tenths AS DOUBLE) / 10), ' / ', format('{{:.1f}}', CAST(sum_tenths AS DOUBLE) / CAST(n AS DOUBLE) / 10), ' / ', format('{{:.1f}}', CAST(max_tenths AS DOUBLE) / 10), ' (', n, ')') AS line FROM a WHERE station = '{TARGET}'",
+    "total_rows": f"WITH {_E} SELECT count(*) AS n_rows, count(DISTINCT station) AS n_stations FROM e",
+    "malformed_rows": "SELECT count(*) FILTER (event_id % 3 <> 0) AS n_ok, count(*) FILTER (event_id % 3 = 0 AND event_id % 10 <> 0) AS n_bad FROM events",
+    "station_dictionary": f"WITH {_E}, f AS (SELECT station, min(event_id) AS first FROM e GROUP BY station) SELECT CAST(row_number() OVER (ORDER BY first, station) - 1 AS INTEGER) AS id, station FROM f",
+    "encode_decode_stats": f"WITH {_E}, {_stats('e')} {_ALL}",
+    "union_parts": f"WITH {_E}, {_S}, u AS (SELECT station, tenths FROM e UNION ALL SELECT station, tenths FROM s), {_stats('u')} {_ALL}",
+    "block_index": f"WITH {_E}, {_L}, {_dealt('event_id')} SELECT block_id, count(*) AS n_rows, CAST(sum(n_bytes) AS BIGINT) AS n_bytes, array_to_string(list_sort(list(DISTINCT station)), ',') AS stations FROM b GROUP BY block_id",
+    "block_skip_stats": f"""WITH {_E}, {_L}, {_dealt('station, event_id')}, i AS (SELECT block_id, max(station = '{TARGET}') AS has FROM b GROUP BY block_id)
+    SELECT count(*) AS n_blocks, count(*) FILTER (has) AS n_matched, count(*) FILTER (NOT has) AS n_skipped, round(100.0 * CAST(count(*) FILTER (NOT has) AS DOUBLE) / count(*), 2) AS skip_percent FROM i""",
+    "block_point_stats": f"WITH {_E}, {_stats('e')} {_ALL} WHERE station = '{TARGET}'",
+    "block_offsets": f"""WITH {_E}, {_L}, {_dealt('event_id')}, i AS (SELECT block_id, CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM b GROUP BY block_id)
+    SELECT block_id, n_bytes, CAST(coalesce(sum(n_bytes) OVER (ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM i""",
+    "parquet_zstd_point": f"WITH {_E}, {_stats('e')} {_ALL} WHERE station = '{TARGET}'",
+}
