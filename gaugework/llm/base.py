@@ -6,7 +6,6 @@ import atexit
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -14,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugework.storage import shared_folder, written  # noqa: F401  for the operators here
+
 #: White space between words, as a Java and a Python character class.
 WORD_SPACE = r"[\x20\x09-\x0D]"
 
@@ -38,42 +39,6 @@ def ship(spark: SparkSession) -> None:
     atexit.register(shutil.rmtree, folder, True)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset (tests, local mode)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not getattr(sc, "_gaugework_folder", None):
-        sc._gaugework_folder = tempfile.mkdtemp(prefix="gaugework-")
-        atexit.register(shutil.rmtree, sc._gaugework_folder, True)
-    return f"file://{sc._gaugework_folder}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut, and a lost executor costs nothing that was written.
-
-    The files stay until the session ends, since frames that are still lazy may read them."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/gaugework-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _drop_at_end(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop_at_end(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-
-    def drop() -> None:
-        try:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
-        except Exception:  # noqa: BLE001  the JVM has gone first: the cluster's own clean-up of that folder remains
-            pass
-
-    atexit.register(drop)
-
-
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
