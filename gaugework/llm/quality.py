@@ -10,11 +10,15 @@ from gaugework.llm import base
 
 #: Buckets of the n-gram hash; the table of their weights, a number each, is what is sent to the tasks.
 BUCKETS = 1 << 14
+#: Counts that the raw distribution weighs as the target's prior: with far fewer trusted n-grams than these, every ratio is near 0.
+PRIOR = 10 * BUCKETS
 #: Documents below this log-likelihood ratio an n-gram (nats) are rejected.
-LEAST_RATIO = -0.05
+LEAST_RATIO = -0.04
 #: Fewest words, and the largest share of words in repeated windows (percent), of the base rules.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 WINDOW = 3
+#: Up to so many distinct repeated windows of a text are looked up in a list.
+FEW_REPEATS = 8
 #: Labelled ids are broadcast up to this many rows (8 bytes each); beyond, the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 SYMBOLS = r"[#*$%&|<>]"
@@ -26,16 +30,24 @@ def word_array(text: Column) -> Column:
     return F.transform(found, lambda w: F.xxhash64(w))
 
 
+def bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
+def two_grams(words: Column, of) -> Column:
+    """of(hash) for each pair of neighbouring words."""
+    return F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda h, i: of(F.xxhash64(h, F.get(words, i + 1))))
+
+
 def ngram_buckets(words: Column) -> Column:
     """The buckets of all 1-grams and 2-grams, from the word hashes."""
-    one = F.transform(words, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
-    two = F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda h, i: F.pmod(F.xxhash64(h, F.get(words, i + 1)), F.lit(BUCKETS)).cast("int"))
-    return F.concat(one, two)
+    return F.concat(F.transform(words, bucket), two_grams(words, bucket))
 
 
 def weights(docs: DataFrame, trusted: DataFrame) -> Column:
-    """log(target / raw) of every bucket, both with one count added to each bucket, as an array literal. All documents are counted; what reaches the driver is one
-    row of BUCKETS numbers. Without documents or trusted ids every weight is that of two even multinomials: 0."""
+    """log(target / raw) of every bucket, as an array literal. Raw counts have one added to each bucket; the target's prior is the raw distribution, with the weight of
+    PRIOR counts, so that few trusted documents say little rather than speak against all that they lack. All documents are counted; what reaches the driver is
+    one row of BUCKETS numbers. Without documents or trusted ids every weight is 0."""
     ids = trusted.select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct()
     if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
@@ -44,7 +56,8 @@ def weights(docs: DataFrame, trusted: DataFrame) -> Column:
     counts = words.select("good", F.explode(ngram_buckets(F.col("words"))).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").na.fill(0)
     every = every.groupBy().agg(F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"), F.sort_array(F.collect_list(F.struct("b", "raw", "target"))).alias("rows"))
-    ratio = F.transform("rows", lambda r: F.log((r["target"] + 1) / (F.col("n_target") + BUCKETS)) - F.log((r["raw"] + 1) / (F.col("n_raw") + BUCKETS)))
+    raw = lambda r: (r["raw"] + 1) / (F.col("n_raw") + BUCKETS)
+    ratio = F.transform("rows", lambda r: F.log((r["target"] + PRIOR * raw(r)) / (F.col("n_target") + PRIOR) / raw(r)))
     told = every.select(F.array_join(F.transform(ratio, lambda x: x.cast("string")), ",")).first()[0]
     return F.split(F.lit(told), ",").cast("array<double>")
 
@@ -61,22 +74,34 @@ def measured(docs: DataFrame, weight: Column) -> DataFrame:
         lines.alias("lines"),
     )
     n = F.size("w")
-    windows = F.transform(F.slice("w", F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(0))), lambda h, i: F.struct(F.xxhash64(h, *(F.get("w", i + j) for j in range(1, WINDOW))).alias("h"), i.alias("i")))
+    windows = F.transform(F.slice("w", F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(0))), lambda h, i: F.xxhash64(h, *(F.get("w", i + j) for j in range(1, WINDOW))))
+    add = lambda t, x: t + x
+    score = lambda h: F.get(weight, bucket(h))
+    total = F.aggregate("w", F.lit(0.0), lambda t, h: t + score(h)) + F.aggregate(two_grams(F.col("w"), score), F.lit(0.0), add)
     second = first.select(
         "__row", "word_chars", "n_symbols", n.cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        ngram_buckets(F.col("w")).alias("grams"),
-        F.sort_array(windows).alias("s"),
+        F.try_divide(total, F.greatest(2 * n - 1, F.lit(0)).cast("double")).alias("ratio"),
+        windows.alias("v"),
     )
+    kept = ["__row", "word_chars", "n_symbols", "n_words", "n_dup_lines", "ratio"]
+    # most texts repeat no window: they are told by their distinct windows, and only the others are sorted
+    third = second.select(*kept, "v", F.when(F.size(F.array_distinct("v")) < F.size("v"), F.sort_array("v")).alias("o"))
+    repeats = F.array_distinct(F.filter("o", lambda x, j: x == F.get("o", j + 1)))
+    fourth = third.select(*kept, "v", repeats.alias("r"))
+    # few repeated windows are looked up in a list; many are found by sorting windows with their places
+    pairs = F.when(F.size("r") > FEW_REPEATS, F.sort_array(F.transform("v", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    fifth = fourth.select(*kept, "v", "r", pairs.alias("s"))
     same = F.filter("s", lambda x, j: (x["h"] == F.get("s", j + 1)["h"]) | ((j > 0) & (x["h"] == F.get("s", F.greatest(j - 1, F.lit(0)))["h"])))
-    third = second.select("__row", "word_chars", "n_symbols", "n_words", "n_dup_lines", "grams", F.sort_array(F.transform(same, lambda x: x["i"])).alias("p"))
-    covered = F.aggregate(F.transform("p", lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get("p", j + 1) - x, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda t, x: t + x)
-    total = F.aggregate("grams", F.lit(0.0), lambda t, b: t + F.get(weight, b))
-    fourth = third.select("__row", "word_chars", "n_symbols", "n_words", "n_dup_lines", covered.alias("n_repeat_words"), F.try_divide(total, F.size("grams").cast("double")).alias("ratio"))
+    listed = F.filter(F.transform("v", lambda h, i: F.when(F.array_contains("r", h), i)), lambda i: i.isNotNull())
+    places = F.when(F.col("r").isNull(), F.array().cast("array<int>")).when(F.col("s").isNull(), listed).otherwise(F.sort_array(F.transform(same, lambda x: x["i"])))
+    sixth = fifth.select(*kept, places.alias("p"))
+    covered = F.aggregate(F.transform("p", lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get("p", j + 1) - x, F.lit(WINDOW)))), F.lit(0).cast("long"), add)
+    last = sixth.select(*kept, covered.alias("n_repeat_words"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    kept = ~failed & (F.coalesce("ratio", F.lit(0.0)) >= LEAST_RATIO)
+    good = ~failed & (F.coalesce("ratio", F.lit(0.0)) >= LEAST_RATIO)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio"]
-    return fourth.select("__row.*", F.struct(*names, failed.alias("base_failed"), kept.alias("kept")).alias("__q"))
+    return last.select("__row.*", F.struct(*names, failed.alias("base_failed"), good.alias("kept")).alias("__q"))
 
 
 def assess(docs: DataFrame, trusted: DataFrame) -> DataFrame:
