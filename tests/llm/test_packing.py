@@ -1,0 +1,103 @@
+"""Packing: every id in exactly one piece, limits held, little padding."""
+
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from tokenizers import Tokenizer
+
+from gaugework.llm import packing
+
+PATH = P.path("word_bpe_49k.json")
+
+
+def check(rows, docs, tokens, segments):
+    tokenizer = Tokenizer.from_file(PATH)
+    ids = [np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for _, t in docs]
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_sequence.setdefault(r["sequence_id"], []).append(r)
+    for (i, _), x in zip(docs, ids, strict=True):
+        at = 0
+        for r in sorted(by_doc.pop(i), key=lambda r: r["start"]):
+            assert r["start"] == at and r["length"] > 0 and r["doc_tokens"] == len(x)
+            assert r["ids_crc32"] == zlib.crc32(x[at:at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(x)
+    assert not by_doc
+    padding = 0
+    for s in by_sequence.values():
+        s.sort(key=lambda r: r["offset"])
+        at = 0
+        for r in s:
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= tokens and len(s) <= segments
+        padding += 0 if at & (at - 1) == 0 else tokens - at
+    return padding
+
+
+def corpus(seed, n):
+    rng = random.Random(seed)
+    words = ["The", "thinrend", "it's", "dön't", "x1y22", "🙂é", "we're...", "A B", "don’t", "́mark", "ﬁ"]
+    return [(i, "".join(rng.choice(words) + rng.choice([" ", "  ", "\n", "\t", ""]) for _ in range(rng.choice([0, 1, 5, 40, 300, 2500])))) for i in range(n)]
+
+
+@pytest.mark.parametrize(("tokens", "segments"), [(4096, 512), (256, 512), (256, 3), (100, 8)])
+def test_documents(spark, tokens, segments):
+    docs = [*corpus(tokens, 60), (900, None), (901, ""), (None, "null id")]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in docs], "doc_id long, text string, length long, start long").repartition(3)
+    rows = packing.pack_documents(df, PATH, tokens, segments).collect()
+    padding = check(rows, docs, tokens, segments)
+    assert tokens == 100 or padding == 0
+
+
+def test_small_pool_and_empty(spark, monkeypatch):
+    monkeypatch.setattr(packing, "POOL", 8)
+    docs = corpus(1, 50)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert check(packing.pack_documents(df, PATH).collect(), docs, 4096, 512) == 0
+    assert packing.pack_documents(df.limit(0), PATH).collect() == []
+
+
+def test_repeated_rows_are_packed_each(spark):
+    df = spark.createDataFrame([(1, "one two"), (1, "one two")], "doc_id long, text string").coalesce(1)
+    rows = packing.pack_documents(df, PATH).collect()
+    assert sum(r["length"] for r in rows) == 6
+
+
+def test_examples_under_three_limits(spark):
+    rng = random.Random(4)
+    rows = [(f"e{i}", rng.choice([0, 1, 20, 300, 900, 1024]), None) for i in range(300)]
+    rows = [(k, t, rng.randrange(t + 1) if t else None) for k, t, _ in rows] + [("null", None, None)]
+    df = spark.createDataFrame(rows, "example_id string, n_tokens int, n_loss int").coalesce(2)
+    got = packing.pack_examples(df, 1024, 6, 700).where("true")
+    if any((n or 0) > 700 for _, _, n in rows):
+        with pytest.raises(Exception, match="exceeds"):
+            got.collect()
+    df = spark.createDataFrame([(k, t, min(n or 0, 700)) for k, t, n in rows], "example_id string, n_tokens int, n_loss int").coalesce(2)
+    got = packing.pack_examples(df, 1024, 6, 700).collect()
+    size = {k: (t or 0, min(n or 0, 700)) for k, t, n in rows}
+    assert sorted(r["key"] for r in got) == sorted(size)
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append(r)
+    for s in by.values():
+        assert len(s) <= 6 and sum(size[r["key"]][0] for r in s) <= 1024 and sum(size[r["key"]][1] for r in s) <= 700
+        at = 0
+        for r in sorted(s, key=lambda r: (r["offset"], r["length"])):
+            assert r["offset"] == at and r["length"] == size[r["key"]][0]
+            at += r["length"]
+
+
+def test_dot_product_takes_what_fits_the_room_best():
+    packer = packing.Packer(10, 10, 10, cut=False)
+    for key, n, loss in (("tokens", 6, 0), ("loss", 3, 8), ("both", 5, 5)):
+        assert list(packer.offer(key, n, loss)) == []
+    first = next(iter(packer.pack(0)))
+    assert [k for k, _, _ in first] == ["loss", "tokens"]
