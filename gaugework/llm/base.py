@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -43,6 +44,12 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files of finished queries go when the driver's JVM finds their plans unused; ask it to look now, before the next large shuffle needs the disk."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: extra columns of any name can't clash with those that an operator makes."""
     return df.select(*(F.col(n) for n in names))

@@ -2,12 +2,17 @@
 the overlap of two sets by the sum of coordinate minima, and pairs that survive are verified on the sets.
 
 A pair at the threshold differs in a tenth of its size, more than the spread of group counts of unrelated texts, so one tree over all points would prune little
-and compare nearly all. Trees are therefore built over clusters: if two sets differ in d shingles and both are dealt into d + 1 groups, one group is equal in
-both, so sets that share no equal group can't link. Sets joined by equal groups, directly or through others, form a cluster; large clusters are cut into blocks,
-and every two blocks of one meet."""
+and compare nearly all. Trees are therefore built over clusters. If two sets differ in at most d shingles, at most d groups of them differ; so if one of the two
+has more than d groups of `crowd` shingles or more, the sets are equal in one such group at least. Sets send a signature for each crowded group; only those that
+have d or fewer of them send signatures for the other groups too. Sets that share a signature, directly or through others, form a cluster; large clusters are cut
+into blocks, and every two blocks of one meet. Groups of a few shingles alone would join all texts that share one frequent line; crowded ones don't, and the
+others count only where the larger set of a pair has too few crowded ones, which is rare."""
 
 from __future__ import annotations
 
+import math
+import struct
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +22,13 @@ from gaugework.llm import base
 from gaugework.llm.graph import components
 
 #: Growth of the size bands within which sets are dealt into equally many groups.
-BAND = 1.3
+BAND = 1.2
 #: Limits of a block of a cluster: sets, and bytes of their hashes.
 BLOCK_SETS, BLOCK_BYTES = 1024, 4 << 20
 #: Points in a leaf, and children of a node, of the tree.
 LEAF, FAN = 32, 8
+#: Signatures that one task sorts at a time (14 to 16 bytes each).
+BUCKET_ROWS = 1_000_000
 #: Ids are broadcast up to this many rows (16 bytes each); beyond, the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -31,6 +38,14 @@ class Threshold:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
+        #: Fewest shingles of a crowded group: half of what a group would hold if there were as many as shingles that may differ.
+        self.crowd = max(1, (den + num) // (4 * (den - num))) if den > num else 1
+        #: Shingles a group on average, such that most groups for the size of the set are crowded.
+        self.load = max(np.arange(0.5, 20, 0.01), key=self._crowded)
+
+    def _crowded(self, load: float) -> float:
+        few = sum(load ** i / math.factorial(i) for i in range(self.crowd))
+        return (1 - math.exp(-load) * few) / load
 
     def differing(self, size: int) -> int:
         """The most shingles in which two linked sets of at most `size` differ: |A| + |B| - 2|A & B| with |A & B| (den + num) >= num (|A| + |B|)."""
@@ -40,12 +55,13 @@ class Threshold:
         """total: |A| + |B|."""
         return common * (self.den + self.num) >= self.num * total
 
-    def bands(self, n: int) -> list[tuple[int, int]]:
-        """(largest size, groups) of the bands in which a set of n shingles can meet a partner as large or larger, or is the larger one."""
+    def bands(self, n: int) -> list[tuple[int, int, int]]:
+        """(largest size, differing, groups) of the bands in which a set of n shingles can meet a partner as large or larger, or is the larger one. Equal sets are
+        joined by their digest, so bands where linked sets are equal are left out."""
         out, low, high = [], 1, 1
         while low * self.num <= n * self.den:
-            if n <= high:
-                out.append((high, self.differing(high) + 1))
+            if n <= high and (d := self.differing(high)):
+                out.append((high, d, max(d + 1, round(high / self.load))))
             low, high = high + 1, max(high + 1, int(high * BAND))
         return out
 
@@ -53,23 +69,32 @@ class Threshold:
 _BANDS: dict[tuple, list] = {}
 
 
-def signatures(h: np.ndarray, t: Threshold) -> np.ndarray:
-    """Hashes that stand for (band, group, the shingles of the set in that group). Equal sets are joined by their digest, so bands where linked sets are equal are left out."""
+def signatures(h: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that stand for (band, group, the shingles of the set in that group), and which of them are hubs: all of crowded groups; of the others, those in the
+    band where the set is the larger one. A pair that no crowded group shows shares a hash that is a hub of its larger set."""
     key = (len(h), t.num, t.den)
     if key not in _BANDS:
         if len(_BANDS) > 50_000:
             _BANDS.clear()
-        _BANDS[key] = [b for b in t.bands(len(h)) if b[1] > 1]
+        _BANDS[key] = t.bands(len(h))
     low, high = (h & np.uint64(0xFFFFFFFF)).astype(np.float64), (h >> np.uint64(32)).astype(np.float64)
-    out = []
+    out, hubs = [np.empty(0, np.uint64)], [np.empty(0, bool)]
     with np.errstate(over="ignore"):
-        for band, groups in _BANDS[key]:
+        for own, (band, d, groups) in enumerate(_BANDS[key]):
             g = (h % np.uint64(groups)).astype(np.int64)
+            count = np.bincount(g, minlength=groups)
             a = np.bincount(g, weights=low, minlength=groups).astype(np.uint64)
             b = np.bincount(g, weights=high, minlength=groups).astype(np.uint64)
-            place = base.mix(np.arange(groups, dtype=np.uint64) + np.uint64(band << 24))
-            out.append(base.mix(base.mix(a ^ place) + b))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+            sent = count >= t.crowd
+            if sent.sum() <= d:
+                sent = count > 0
+                if sent.sum() <= d:  # the group that is equal may be an empty one
+                    out.append(base.mix(np.array([band << 1 | 1], np.uint64)))
+                    hubs.append(np.array([own == 0]))
+            place = base.mix(np.flatnonzero(sent).astype(np.uint64) << np.uint64(1) | np.uint64(band << 33))
+            out.append(base.mix(base.mix(a[sent] ^ place) + b[sent]))
+            hubs.append((count[sent] >= t.crowd) | (own == 0))
+    return np.concatenate(out), np.concatenate(hubs)
 
 
 def shingle_sets(raw: list[bytes], k: int):
@@ -97,53 +122,110 @@ def _texts(batch: pa.RecordBatch, name: str):
         yield a, b, [t.as_buffer().to_pybytes() for t in column[a:b]]
 
 
-def fingerprints(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
-    """doc_id, n, d1, d2 (digest of the set; null if it is empty) and sigs of every row of docs (doc_id, text)."""
+def _source(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+
+
+def digests(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n, d1, d2 (digest of the set; null if it is empty) of every row."""
 
     def run(batches):
         for batch in batches:
             for a, b, raw in _texts(batch, "text"):
                 sets = list(shingle_sets(raw, k))
                 d = [digest(h) for h in sets]
-                sigs = [signatures(h, t) for h in sets]
-                offsets = np.concatenate(([0], np.cumsum([len(s) for s in sigs]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id")[a:b],
-                    pa.array([len(h) for h in sets], pa.int64()),
-                    pa.array([x for x, _ in d], pa.int64()),
-                    pa.array([x for _, x in d], pa.int64()),
-                    pa.ListArray.from_arrays(offsets, np.concatenate(sigs).view(np.int64)),
-                ], ["doc_id", "n", "d1", "d2", "sigs"])
+                yield pa.RecordBatch.from_arrays([batch.column("rep")[a:b], pa.array(map(len, sets), pa.int64(), size=b - a), *(pa.array(x, pa.int64()) for x in zip(*d, strict=True))], ["doc_id", "n", "d1", "d2"])
+
+    return _source(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
+
+
+def _without(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of df whose `column` isn't in ids (one column of another name)."""
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(ids) if few else ids, F.col(column) == F.col(ids.columns[0]), "left_anti")
+
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sigs array<long>")
+def packed(key: np.ndarray, rep: np.ndarray) -> bytes:
+    """Pairs of a signature and a document as bytes: 6 of the signature (one that agrees by chance joins two clusters more, no more than that), and the document's
+    distance from the least in as few as hold them all."""
+    low = int(rep.min())
+    away = (rep - low).astype(np.uint64)
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(away.max()) < 1 << 8 * w)
+    keys = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    return struct.pack("<IBq", len(key), width, low) + keys.tobytes() + away.astype(f"<u{width}").tobytes()
 
 
-def stars(reps: DataFrame) -> DataFrame:
-    """u, v: each set with the first one that shares a signature with it. A task sends on one row for each signature of a batch and joins the others to it at
-    once, so a signature that very many sets share is combined before the shuffle."""
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, width, low = struct.unpack_from("<IBq", blob)
+    at = struct.calcsize("<IBq")
+    keys = np.zeros((n, 8), np.uint8)
+    keys[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, at).reshape(n, 6)
+    away = np.frombuffer(blob, f"<u{width}", n, at + 6 * n)
+    return keys.reshape(-1).view("<u8"), away.astype(np.int64) + low
+
+
+def centers(key: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, rep) in order, whether a row is joined to a hub, and the hub (the least of its signature). The last bit of a key is 0 for hubs."""
+    order = np.lexsort((rep, key))
+    key, rep = key[order], rep[order]
+    sig = key >> np.uint64(1)
+    new = np.concatenate(([True], sig[1:] != sig[:-1]))
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return key, rep, (key[first] & np.uint64(1) == 0) & ~new, rep[first]
+
+
+def stars(docs: DataFrame, k: int, t: Threshold, n_rows: int) -> DataFrame:
+    """u, v: each document of (rep, text) with the first hub that shares a signature with it; signatures without a hub join nothing.
+
+    Signatures are dealt into buckets of about BUCKET_ROWS (n_rows: about how many there are). Where a slice of a task has a hub, it sends on one row for the
+    signature and joins the others to it at once, so a signature that very many sets share is combined before the shuffle."""
+    salts, buckets = 64, max(base.parallelism(docs.sparkSession), -(-n_rows // BUCKET_ROWS))
 
     def combine(batches):
         for batch in batches:
-            column = batch.column("sigs")
-            sig = column.flatten().to_numpy()
-            rep = np.repeat(batch.column("rep").to_numpy(), np.diff(column.offsets.to_numpy()))
-            order = np.lexsort((rep, sig))
-            sig, rep = sig[order], rep[order]
-            first = np.concatenate(([True], sig[1:] != sig[:-1])) if len(sig) else np.empty(0, bool)
-            center = rep[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(sig) else rep
-            edges = np.unique(np.stack([rep, center])[:, ~first], axis=1)
-            edges = edges[:, edges[0] != edges[1]]
-            for s in range(0, max(len(sig), 1), 1 << 18):
-                keep = first[s:s + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(keep.sum(), bool)), pa.array(sig[s:s + (1 << 18)][keep]), pa.array(rep[s:s + (1 << 18)][keep]), pa.nulls(int(keep.sum()), pa.int64())], ["done", "key", "rep", "center"])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(edges.shape[1], bool)), pa.array(edges[0]), pa.array(edges[0]), pa.array(edges[1])], ["done", "key", "rep", "center"])
-
-    from pyspark.sql import Window
-
-    rows = reps.select("rep", "sigs").mapInArrow(combine, "done boolean, key long, rep long, center long")
-    first = F.first("rep").over(Window.partitionBy("done", "key").orderBy("rep").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.select(F.col("rep").alias("u"), F.coalesce("center", first).alias("v")).where("u <> v").distinct()
+            for s, e, raw in _texts(batch, "text"):
+                found = [signatures(h, t) for h in shingle_sets(raw, k)]
+                sig, hub = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+                if not len(sig):
+                    continue
+                rep = np.repeat(batch.column("rep")[s:e].to_numpy(), [len(x) for x, _ in found])
+                key, rep, joined, center = centers(sig << np.uint64(1) | (~hub).astype(np.uint64), rep)
+                edges = np.unique(np.stack([center[joined], rep[joined]]), axis=1)
+                center, other = edges[:, edges[0] != edges[1]]
+                # a known star has a signature of its own, of which its center is the hub, dealt by salts as it may be large
+                with np.errstate(over="ignore"):
+                    star = base.mix(base.mix(center.astype(np.uint64)) + (other % salts).astype(np.uint64)) << np.uint64(1)
+                key = np.concatenate([key[~joined], star, star | np.uint64(1)]) & np.uint64((1 << 48) - 1)
+                rep = np.concatenate([rep[~joined], center, other])
+                bucket = (key >> np.uint64(1)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                key, rep, bucket = key[order], rep[order], bucket[order]
+                cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+                blobs = [packed(key[i:j], rep[i:j]) for i, j in zip(cuts, [*cuts[1:], len(key)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int64)), pa.array(blobs, pa.binary())], ["bucket", "rows"])
+
+    def meet(batches):
+        now, waiting = None, []
+
+        def out():
+            key, rep = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            _, rep, joined, center = centers(key, rep)
+            edges = np.unique(np.stack([rep[joined], center[joined]]), axis=1)
+            u, v = edges[:, edges[0] != edges[1]]
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        for batch in batches:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("rows"), strict=True):
+                if bucket != now and waiting:
+                    yield out()
+                    waiting = []
+                now = bucket
+                waiting.append(unpacked(blob.as_buffer().to_pybytes()))
+        if waiting:
+            yield out()
+
+    rows = docs.mapInArrow(combine, "bucket long, rows binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "u long, v long").distinct()
 
 
 # ---- the tree ----
@@ -186,20 +268,19 @@ class Forest:
         self.label[self.label == y] = x
 
 
-def cluster_links(sets: list[np.ndarray], side: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
-    """Verified pairs that connect whatever links connect. side: 0 and 1 for two blocks, whose pairs across are wanted; all 0 for one block with itself."""
-    sizes = np.array([len(s) for s in sets])
-    groups = 1 << int(np.clip(np.ceil(np.log2(max(np.median(sizes) / 3, 1))), 4, 10))
-    counts = np.stack([np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups) for s in sets]).astype(np.int32)
-    forest, out = Forest(len(sets)), []
+def near_pairs(counts: np.ndarray, sizes: np.ndarray, side: np.ndarray, t: Threshold, label: np.ndarray):
+    """(positions, positions) of pairs whose summed coordinate minima allow a link, leaf by leaf, from a join of two trees; pairs of one label are left out, and
+    labels may change between leaves. side: 0 and 1 for two blocks, whose pairs across are wanted; all 0 for one block with itself."""
     index = [np.flatnonzero(side == s) for s in (0, 1)]
+    if not len(index[0]):
+        return
     one = not len(index[1])
     trees = [build(counts[i], sizes[i]) for i in index if len(i)]
-    stack = [(trees[0], trees[0] if one else trees[1])]
     where = (index[0], index[0] if one else index[1])
+    stack = [(trees[0], trees[-1])]
     while stack:
         a, b = stack.pop()
-        if a.least * t.den < b.least * t.num and a.most * t.den < b.least * t.num or b.most * t.den < a.least * t.num:
+        if a.most * t.den < b.least * t.num or b.most * t.den < a.least * t.num:
             continue
         if not t.linked(int(np.minimum(a.high, b.high).sum()), int(a.least + b.least)):
             continue
@@ -212,12 +293,28 @@ def cluster_links(sets: list[np.ndarray], side: np.ndarray, t: Threshold) -> lis
                 stack += [(a, y) for y in b.children]
             continue
         p, q = where[0][a.points], where[1][b.points]
-        bound = np.minimum(counts[p][:, None, :], counts[q][None, :, :]).sum(axis=2)
-        near = t.linked(bound, sizes[p][:, None] + sizes[q][None, :])
+        other = label[p][:, None] != label[q][None, :]
+        if not other.any():
+            continue
+        near = other & t.linked(np.minimum(counts[p][:, None, :], counts[q][None, :, :]).sum(axis=2, dtype=np.int64), sizes[p][:, None] + sizes[q][None, :])
         if a is b:
             near &= np.tri(len(p), k=-1, dtype=bool)
-        for x, y in zip(*np.nonzero(near & (forest.label[p][:, None] != forest.label[q][None, :])), strict=True):
-            i, j = int(p[x]), int(q[y])
+        x, y = np.nonzero(near)
+        if len(x):
+            yield p[x], q[y]
+
+
+def points(sets: list[np.ndarray], groups: int) -> np.ndarray:
+    return np.stack([np.bincount((base.mix(s) % np.uint64(groups)).astype(np.int64), minlength=groups) for s in sets]).astype(np.int32)
+
+
+def cluster_links(sets: list[np.ndarray], side: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
+    """Verified pairs that connect whatever links connect."""
+    sizes = np.array([len(s) for s in sets])
+    counts = points(sets, 1 << int(np.clip(np.ceil(np.log2(max(np.median(sizes) / 3, 1))), 4, 10)))
+    forest, out = Forest(len(sets)), []
+    for p, q in near_pairs(counts, sizes, side, t, forest.label):
+        for i, j in zip(p.tolist(), q.tolist(), strict=True):
             if forest.label[i] != forest.label[j]:
                 small, large = (sets[i], sets[j]) if sizes[i] <= sizes[j] else (sets[j], sets[i])
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
@@ -227,51 +324,133 @@ def cluster_links(sets: list[np.ndarray], side: np.ndarray, t: Threshold) -> lis
     return out
 
 
-def verified(docs: DataFrame, clusters: DataFrame, k: int, t: Threshold) -> DataFrame:
-    """u, v: links that connect what is linked, within clusters (node, root). Texts of clusters alone are hashed again."""
-    few = clusters.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    chosen = clusters.select(F.col("node").alias("rep"), "root")
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    rows = rows.join(F.broadcast(chosen) if few else chosen, "rep")
+def near_links(counts: np.ndarray, sizes: np.ndarray, side: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
+    """Pairs that connect whatever pairs within the bound connect."""
+    forest, out = Forest(len(sizes)), []
+    for p, q in near_pairs(counts, sizes, side, t, forest.label):
+        for i, j in zip(p.tolist(), q.tolist(), strict=True):
+            if forest.label[i] != forest.label[j]:
+                out.append((i, j))
+                forest.join(i, j)
+    return out
+
+
+def _cells(key: tuple[str, ...], solve):
+    """A function for mapInArrow over batches sorted by `key`, then rep: solve(values, sides, ns) of each run of equal keys gives pairs of positions, of which the
+    reps come out as u and v. Columns: key, side, rep, n, value. A repeated rep (a repeated row) counts once."""
 
-    def hashed(batches):
-        for batch in batches:
-            for a, b, raw in _texts(batch, "text"):
-                sets = list(shingle_sets(raw, k))
-                yield pa.RecordBatch.from_arrays([batch.column("root")[a:b], batch.column("rep")[a:b], pa.array([len(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["root", "rep", "n", "shingles"])
-
-    sets = base.written(rows.select("root", "rep", "text").mapInArrow(hashed, "root long, rep long, n long, shingles binary").dropDuplicates(["root", "rep"]))
-    size = sets.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("total") * 8 / BLOCK_BYTES)).cast("int")
-    large = size.select("root", blocks.alias("blocks")).where("blocks > 1")  # clusters of one block need no plan: few rows are left to join
-    placed = sets.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = placed.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "rep", "shingles")
-    cells = cells.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rep")
-
-    def link(batches):
-        cell, reps, sides, shingles, found = None, [], [], [], []
-
-        def solve():
+    def run(batches):
+        cell, reps, sides, ns, values, found = None, [], [], [], [], []
+
+        def close():
             if len(reps) > 1:
-                found.extend((reps[a], reps[b]) for a, b in cluster_links(shingles, np.array(sides), t))
+                found.extend((reps[a], reps[b]) for a, b in solve(values, np.array(sides), np.array(ns)))
+
+        def out():
+            return pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([x for _, x in found], pa.int64())})
 
         for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j")), strict=True)
-            for key, rep, side, h in zip(keys, batch.column("rep").to_pylist(), batch.column("side").to_pylist(), batch.column("shingles"), strict=True):
-                if key != cell:
-                    solve()
-                    cell, reps, sides, shingles = key, [], [], []
-                reps.append(rep)
-                sides.append(side)
-                shingles.append(np.frombuffer(h.as_buffer().to_pybytes(), np.uint64))
-            yield pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([x for _, x in found], pa.int64())})
+            keys = zip(*(batch.column(c).to_pylist() for c in key), strict=True)
+            for k, rep, side, n, value in zip(keys, *(batch.column(c).to_pylist() for c in ("rep", "side", "n")), batch.column("value"), strict=True):
+                if k != cell:
+                    close()
+                    cell, reps, sides, ns, values = k, [], [], [], []
+                if not reps or rep != reps[-1]:
+                    reps.append(rep)
+                    sides.append(side)
+                    ns.append(n)
+                    values.append(value.as_buffer().to_pybytes())
+            yield out()
             found = []
-        solve()
-        yield pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([x for _, x in found], pa.int64())})
+        close()
+        yield out()
+
+    return run
+
+
+def _chosen(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Texts of the chosen documents (rep and more), which are broadcast if they are few."""
+    few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return _source(docs).join(F.broadcast(chosen) if few else chosen, "rep")
+
+
+def _spread(own: int, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j and side of the cells (i <= j) of a member of block `own` out of `blocks`."""
+    other = np.arange(blocks, dtype=np.int32)
+    return np.minimum(own, other).astype(np.int32), np.maximum(own, other).astype(np.int32), (own > other).astype(np.int32)
+
+
+def _blocked(members: DataFrame, key: list[str], bytes_each) -> DataFrame:
+    """members with blocks and own: how many blocks their group has, and which of them is theirs."""
+    size = members.groupBy(*key).agg(F.count("*").alias("m"), F.sum(bytes_each).alias("b"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("b") / BLOCK_BYTES)).cast("int")
+    joined = members.join(size.select(*key, blocks.alias("blocks")), key)
+    return joined.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+
+
+def refined(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, k: int, t: Threshold) -> DataFrame:
+    """Clusters (node, root), of which those of more than BLOCK_SETS documents are cut along pairs beyond the bound. Members meet in size bands as points alone, an
+    eighth as many coordinates as shingles, which are far smaller than their sets."""
+    members = base.written(clusters.select(F.col("node").alias("rep"), "root").join(sizes, "rep"))
+    large = members.groupBy("root").count().where(F.col("count") > BLOCK_SETS).select("root")
+    if large.isEmpty():
+        return clusters
+
+    def banded(batches):
+        for batch in batches:
+            rows = [(rep, root, n, u) for rep, root, n in zip(*(batch.column(c).to_pylist() for c in ("rep", "root", "n")), strict=True) for u, _, _ in t.bands(n)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)], ["rep", "root", "n", "band"])
+
+    big = members.join(large, "root", "left_semi")
+    cells = _blocked(big.select("rep", "root", "n").mapInArrow(banded, "rep long, root long, n long, band long"), ["root", "band"], F.col("band") / 4)
+    chosen = base.written(cells.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("root", "band", "blocks", "own"))).alias("cells")))
+    names = ["root", "band", "i", "j", "side", "rep", "n", "value"]
+
+    def pointed(batches):
+        for batch in batches:
+            for a, b, raw in _texts(batch, "text"):
+                for rep, places, h in zip(batch.column("rep")[a:b].to_pylist(), batch.column("cells")[a:b].to_pylist(), shingle_sets(raw, k), strict=True):
+                    for x in places:
+                        i, j, side = _spread(x["own"], x["blocks"])
+                        n = len(i)
+                        value = points([h], max(16, x["band"] // 8))[0].astype("<u2" if len(h) < 1 << 16 else "<u4").tobytes()
+                        longs = [pa.array([v] * n, pa.int64()) for v in (x["root"], x["band"])]
+                        yield pa.RecordBatch.from_arrays([*longs, pa.array(i), pa.array(j), pa.array(side), pa.array([rep] * n, pa.int64()), pa.array([len(h)] * n, pa.int64()), pa.array([value] * n, pa.binary())], names)
+
+    def solve(values, sides, ns):
+        counts = np.stack([np.frombuffer(v, "<u2" if n < 1 << 16 else "<u4") for v, n in zip(values, ns.tolist(), strict=True)]).astype(np.int32)
+        return near_links(counts, ns, sides, t)
+
+    key = ("root", "band", "i", "j")
+    rows = _chosen(docs, chosen).mapInArrow(pointed, "root long, band long, i int, j int, side int, rep long, n long, value binary")
+    edges = rows.repartition(*key).sortWithinPartitions(*key, "rep").mapInArrow(_cells(key, solve), "u long, v long")
+    small = members.join(large, "root", "left_anti").select(F.col("rep").alias("node"), "root")
+    return small.unionByName(components(edges))
+
+
+def verified(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, k: int, t: Threshold) -> DataFrame:
+    """u, v: links that connect what is linked, within clusters (node, root). sizes: rep and n. Texts of clusters alone are hashed again; each set goes once to every
+    block of its cluster, which is one but for large clusters."""
+    members = clusters.select(F.col("node").alias("rep"), "root").join(sizes, "rep")
+    chosen = base.written(_blocked(members, ["root"], F.col("n") * 8).select("rep", "root", "blocks", "own"))
+    names = ["root", "i", "j", "side", "rep", "n", "value"]
+
+    def hashed(batches):
+        for batch in batches:
+            for a, b, raw in _texts(batch, "text"):
+                columns = (batch.column(c)[a:b].to_pylist() for c in ("rep", "root", "blocks", "own"))
+                for rep, root, blocks, own, h in zip(*columns, shingle_sets(raw, k), strict=True):
+                    i, j, side = _spread(own, blocks)
+                    n = len(i)
+                    longs = [pa.array([v] * n, pa.int64()) for v in (root, rep, len(h))]
+                    yield pa.RecordBatch.from_arrays([longs[0], pa.array(i), pa.array(j), pa.array(side), *longs[1:], pa.array([h.tobytes()] * n, pa.binary())], names)
+
+    def solve(values, sides, ns):
+        return cluster_links([np.frombuffer(v, np.uint64) for v in values], sides, t)
 
-    return cells.mapInArrow(link, "u long, v long")
+    key = ("root", "i", "j")
+    rows = _chosen(docs, chosen).mapInArrow(hashed, "root long, i int, j int, side int, rep long, n long, value binary")
+    return rows.repartition(*key).sortWithinPartitions(*key, "rep").mapInArrow(_cells(key, solve), "u long, v long")
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -284,22 +463,26 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     base.ship(docs.sparkSession)
     t = Threshold(num, den)
     docs = base.own_columns(docs, "doc_id", "text")
-    prints = base.written(fingerprints(docs, k, t))
+    prints = base.written(digests(docs, k))
     sets = prints.where("d1 IS NOT NULL AND doc_id IS NOT NULL")
-    classes = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sigs").alias("sigs"))
-    clusters = components(stars(classes.select("rep", "sigs")))
-    linked = components(verified(docs, clusters, k, t))
-    small = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    named = small.join(linked.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 OR root IS NOT NULL").select("d1", "d2", F.coalesce("root", "rep").alias("root"))
-    found = prints.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
+    classes = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("n").alias("n"))
+    copies = sets.join(classes.where("rep <> last").select("d1", "d2", "rep"), ["d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("copy"))
+    alone = _without(_source(docs).where("rep IS NOT NULL"), base.written(copies), "rep")
+    sizes = classes.select("rep", "n")
+    total = classes.agg(F.sum("n")).first()[0] or 0  # about one signature for each shingle of a class
+    found = components(stars(alone, k, t, total))
+    base.release(docs.sparkSession)
+    clusters = refined(docs, found, sizes, k, t)
+    linked = components(verified(docs, clusters, sizes, k, t))
+    named = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").where("rep <> last OR root IS NOT NULL").select("d1", "d2", F.coalesce("root", "rep").alias("root"))
+    found = prints.join(named, ["d1", "d2"], "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of docs, with all their columns, without those of documents that a smaller doc_id of their component stands for."""
     gone = base.written(join(docs, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return _without(docs, gone, "doc_id")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,102 @@
+"""The pipeline against its stages in plain Python, and the registry."""
+
+from __future__ import annotations
+
+import random
+
+import duckdb
+import public_tokenizers as P
+import pytest
+from tokenizers import Tokenizer
+
+import __spark_entry__ as entry_module
+import corpus_pipeline
+from gaugework.llm import ann, chat, ngram_join, quality, secrets
+
+NAMES = ["quality rules", "line dedup", "n-gram Jaccard join", "secret scans", "packing"]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("sf")
+    rng = random.Random(12)
+    good, junk = [f"word{i}" for i in range(400)], [f"#{i}$" for i in range(300)]
+    rows = []
+    for i in range(60):
+        lines = [" ".join(rng.choices(good, k=12)) for _ in range(60)]
+        if i >= 50:
+            lines = [" ".join(rng.choices(junk, k=12)) for _ in range(60)]
+        rows.append([i, "\n".join(lines)])
+    rows[7][1] = rows[3][1]  # an exact copy
+    words = rows[4][1].split(" ")
+    words[40] = "other"
+    rows[9][1] = "  ".join(words).replace("\n", " \n ")  # a near copy with other blanks
+    rows[11][1] = rows[11][1].replace("\n", " ") + " token=abcdef123"
+    copy = rows[11][1].split(" ")
+    copy[30] = "changed"
+    rows[12][1] = " ".join(copy)  # a near copy in one line
+    rows[20][1] = "too short"
+    rows[21][1] = None
+    docs = [(i, t, "en", "s", len(t or "")) for i, t in rows]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame([(i, int(i < 50), 0) for i in range(0, 60, 2)], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+    return str(folder)
+
+
+def test_stages(spark, tables):
+    assert [n for n, _ in corpus_pipeline.STAGES] == NAMES
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    columns = docs.columns
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, tables)
+        if name != "packing":
+            assert docs.columns == columns
+            kept[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
+    before = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tables}/documents.parquet").collect()}
+    assert kept["quality rules"] == {i: t for i, t in before.items() if i < 50 and i not in (20, 21)}
+    lines = kept["line dedup"]
+    assert set(kept["quality rules"]) - set(lines) == {7}
+    assert {i for i in lines if lines[i] != before[i]} <= {9}
+    assert set(lines) - set(kept["n-gram Jaccard join"]) == {9, 12}
+    assert kept["secret scans"][11].endswith(" [assign]") and all(kept["secret scans"][i] == lines[i] for i in kept["secret scans"] if i != 11)
+    rows = corpus_pipeline.run(spark, tables).collect()
+    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    got = {}
+    for r in rows:
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+    assert got == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in kept["secret scans"].items()}
+
+
+def test_empty_documents(spark, tables, tmp_path):
+    spark.read.parquet(f"{tables}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{tables}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_registry():
+    found = entry_module.queries()
+    assert {n.split("_")[0] for n in found if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in found
+    assert {"op2_nearest_neighbours", "op8_chat_format"} <= set(entry_module.oracle_sql())
+
+
+@pytest.mark.parametrize(("module", "tables_"), [(ann, ["embeddings"]), (chat, ["conversations"])])
+def test_oracles(spark, tmp_path, module, tables_):
+    rng = random.Random(1)
+    spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(60)]) for i in range(60)] + [(100, None), (101, [0.0] * 8)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(i, t, rng.choice(["user", "assistant"]), rng.choice(["a<b&c", "", "\n"])) for i in range(9) for t in range(4)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    name = {ann: "op2_nearest_neighbours", chat: "op8_chat_format"}[module]
+    con = duckdb.connect()
+    for t in tables_:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    expected = con.sql(module.ORACLE_SQL)
+    df = entry_module.queries()[name](spark, str(tmp_path))
+    assert sorted(df.columns) == sorted(expected.columns)
+    shown = lambda x: round(x, 9) if isinstance(x, float) else x
+    columns = sorted(df.columns)
+    at = [expected.columns.index(c) for c in columns]
+    assert sorted(tuple(shown(r[c]) for c in columns) for r in df.collect()) == sorted(tuple(shown(r[i]) for i in at) for r in expected.fetchall())
+
+
+def test_stage_operators_are_those_of_the_library():
+    assert callable(quality.keep_good) and callable(ngram_join.keep_one) and callable(secrets.redact)
