@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,9 @@ TOKENS, SEGMENTS, LOSS = 4096, 512, 4096
 #: Examples that wait in one task for a place; more are packed before others are read.
 POOL = 1024
 #: Distinct words in each generation that a Python worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
+#: Marks that are no letters, digits or apostrophes.
+MARKS = ".,;:!?"
 #: The id that ends a document.
 END = 2
 
@@ -37,13 +40,27 @@ class Words:
         self.tokenizer = Tokenizer.from_str(blob.decode())
         self.words = base.Remembered(REMEMBERED)
 
+    def learn(self, words: set[str]) -> None:
+        """Ids of new words. Marks after a last letter are pieces of their own in any word, and case doesn't matter, so what is encoded is the word without them."""
+        parts = {}
+        for w in self.words.missing(words):
+            core = w.rstrip(MARKS)
+            if not core or not core[-1].isalpha():
+                core = w
+            end = w[len(core):]
+            parts[w] = (core.lower() if core.isascii() and core.isalpha() else core, end)
+        known = self.words.known  # may be another generation now
+        new = [x for x in {x for pair in parts.values() for x in pair} if x not in known]
+        for i in range(0, len(new), 50_000):
+            some = new[i:i + 50_000]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[w] = array("I", e.ids).tobytes()
+        for w, (core, end) in parts.items():
+            known[w] = known[core] + known[end]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = self.words.missing(set().union(*split))
-        for i in range(0, len(missing), 50_000):
-            part = missing[i:i + 50_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.words.known[w] = np.array(e.ids, "<u4").tobytes()
+        self.learn(set().union(*split))
         known = self.words.known.__getitem__
         return [b"".join(map(known, s)) for s in split]
 
