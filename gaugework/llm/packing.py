@@ -21,7 +21,7 @@ TOKENS, SEGMENTS, LOSS = 4096, 512, 4096
 #: Examples that wait in one task for a place; more are packed before others are read.
 POOL = 1024
 #: Distinct words in each generation that a Python worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Marks that are no letters, digits or apostrophes.
 MARKS = ".,;:!?"
 #: The id that ends a document.
