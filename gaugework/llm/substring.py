@@ -13,45 +13,60 @@ from pyspark.sql import functions as F
 
 from gaugework.llm import base
 
-#: Fewest words of a unit: shorter sentences are joined with those that follow in their line.
+#: Fewest words of a unit: shorter sentences and lines are joined with those that follow, over line ends too.
 LEAST_WORDS = 8
 
-#: The end of a sentence: marks, then blanks.
+#: The end of a sentence: marks, then blanks; where scripts without blanks between words occur, their own marks too, and in some of them blanks.
 _BREAK = re.compile(r"[.!?]+[\x20\x09\x0B-\x0D]+")
-_MARKS = ".,;:!?\"'()[]"
+_BREAK_UNSPACED = re.compile(r"[.!?]+[\x20\x09\x0B-\x0D]+|[。！？｡]+[」』）]*[\x20\x09\x0B-\x0D]*|(?<=[\u0e00-\u109f\u1780-\u17ff])[\x20\x09\x0B-\x0D]+")
+_MARKS = ".,;:!?\"'()[]。！？｡、，；：「」『』（）"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Han and kana, of which two count as a word, and Thai, Lao, Tibetan, Burmese and Khmer, of which four do.
+_TWO = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff]")
+_FOUR = re.compile("[\u0e00-\u109f\u1780-\u17ff]")
 
 
-def units(text: str, least: int = LEAST_WORDS) -> list[tuple[int, int, str, bool]]:
-    """(start, end, normalised words, whole) of the units of a text, in order. A unit ends with the sentence that gives it `least` words; what is left at the end of
-    a line is a short unit (not whole). Normalised: words in lower case, stripped of marks at their ends, one blank between them. Lines without words have none."""
-    out = []
+def sentences(text: str):
+    """(start, end, normalised words, number of words) of the sentences with words of all lines, in order. Normalised: words in lower case, stripped of marks at their
+    ends, one blank between them. Of scripts without blanks, the number is that of their letters by two or four."""
+    unspaced = not text.isascii() and (_TWO.search(text) or _FOUR.search(text))
+    search = (_BREAK_UNSPACED if unspaced else _BREAK).search
     for line in re.finditer(r"[^\n]+", text):
-        start, words = None, []
         at, end = line.span()
         while at < end:
-            m = _BREAK.search(text, at, end)
+            m = search(text, at, end)
             stop = m.end() if m else end
             found = [x for w in _WORD.findall(text, at, stop) if (x := w.strip(_MARKS).lower())]
-            if found and start is None:
-                start = at
-            words += found
-            if len(words) >= least:
-                out.append((start, stop, " ".join(words), True))
-                start, words = None, []
+            if found:
+                n = sum(max(1, len(_TWO.findall(x)) // 2 + len(_FOUR.findall(x)) // 4) for x in found) if unspaced else len(found)
+                yield at, stop, " ".join(found), n
             at = stop
-        if words:
-            out.append((start, end, " ".join(words), False))
+
+
+def units(text: str, least: int = LEAST_WORDS) -> list[tuple[int, int, str, bool]]:
+    """(start, end, normalised words, whole) of the units of a text, in order. A unit ends with the sentence that gives it `least` words, lines on where need be; what is
+    left at the end of the text is a short unit (not whole)."""
+    out, start, words, n = [], None, [], 0
+    for at, stop, found, k in sentences(text):
+        start = at if start is None else start
+        words.append(found)
+        n += k
+        if n >= least:
+            out.append((start, stop, " ".join(words), True))
+            start, words, n = None, [], 0
+        end = stop
+    if words:
+        out.append((start, end, " ".join(words), False))
     return out
 
 
-def digests(found: list[tuple[int, int, str, bool]]) -> list[bytes | None]:
-    """128 bits of each unit. A short unit is digested with all before it from the last whole unit on, so that it goes only where those repeat as well; before the first
-    whole unit of a text, short units have no digest and always stay."""
-    out, so_far = [], None
+def digests(found: list[tuple[int, int, str, bool]]) -> list[bytes]:
+    """128 bits of each unit. A short unit is digested with the whole one before it, so that it goes only where that repeats as well; the only unit of a short text is
+    digested as such, so that it goes only where the whole text repeats."""
+    out, so_far = [], ""
     for _, _, words, whole in found:
-        so_far = words if whole else so_far and f"{so_far}\n{words}"
-        out.append(so_far and hashlib.blake2b(so_far.encode(), digest_size=16).digest())
+        so_far = words if whole else f"{so_far}\n{words}"
+        out.append(hashlib.blake2b(so_far.encode("utf-8", "surrogatepass"), digest_size=16).digest())
     return out
 
 
@@ -70,9 +85,8 @@ def duplicates(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
             for i, text in enumerate(batch.column("text")):
                 found = units(text.as_py(), least)
                 for n, (unit, key) in enumerate(zip(found, digests(found), strict=True)):
-                    if key:
-                        keys.append(key)
-                        rows.append((ids[i], versions[i], n, *unit[:2]))
+                    keys.append(key)
+                    rows.append((ids[i], versions[i], n, *unit[:2]))
             if not rows:
                 continue
             key = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)

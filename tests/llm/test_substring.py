@@ -88,3 +88,16 @@ def test_offsets_are_those_of_the_original(spark):
             kept += texts[r["doc_id"]][at:s]
             at = e
         assert kept + texts[r["doc_id"]][at:] == r["text"]
+
+
+def test_short_lines_and_unspaced_scripts_go(spark):
+    """Texts of short lines, of scripts without blanks, and of few words at all: a copy goes whole."""
+    verse = "\n".join(f"six words in line number {i}" for i in range(200))
+    chinese = "\n".join(f"这是第{chr(0x4E00 + i)}行没有空格的中文文字内容" for i in range(50))
+    thai = "\n".join(f"ภาษาไทยไม่มีช่องว่าง{chr(0x0E01 + i)}ระหว่างคำในประโยคเดียวกัน" for i in range(40))
+    texts = [verse, chinese, thai, "Too few words."]
+    got = run(spark, [(i + 10 * n, t) for n in (0, 1) for i, t in enumerate(texts)])
+    assert [i for i, _ in got] == [10, 11, 12, 13] and not any(t.strip() for _, t in got)
+    assert all(all(substring.digests(substring.units(t))) for t in texts)
+    # few words that are part of another text aren't its copy
+    assert run(spark, [(1, "Too few words. Then some more of them follow here."), (2, "Too few words.")]) == []
