@@ -1,5 +1,6 @@
-"""Operator 9: substring deduplication by hashing units. Lines are cut into sentences, units are normalised and digested, digests are grouped over all documents,
-the occurrence of the earliest rank stays, and the others are removed; their original offsets are kept."""
+"""Operator 9: substring deduplication by hashing units. Lines are cut into sentences, units are the shortest runs of sentences with enough words from and to every
+sentence, normalised and digested, digests are grouped over all documents, the occurrence of the earliest rank stays, and the others are removed; their original
+offsets are kept. Units overlap, so an earliest one can lose what repeats in another unit, and every sentence that goes is left where it stood first."""
 
 from __future__ import annotations
 
@@ -44,30 +45,32 @@ def sentences(text: str):
 
 
 def units(text: str, least: int = LEAST_WORDS) -> list[tuple[int, int, str, bool]]:
-    """(start, end, normalised words, whole) of the units of a text, in order. A unit ends with the sentence that gives it `least` words, lines on where need be; what is
-    left at the end of the text is a short unit (not whole)."""
-    out, start, words, n = [], None, [], 0
-    for at, stop, found, k in sentences(text):
-        start = at if start is None else start
-        words.append(found)
-        n += k
+    """(start, end, normalised words, whole) of the units of a text, by their place; neither starts nor ends ever fall. From every sentence on, a unit runs to the
+    first that gives it `least` words, and back from every sentence likewise, lines on where need be. So a passage of `least` words has units that cover all its
+    sentences, the same wherever it stands. A text of fewer words is one short unit (not whole)."""
+    found = list(sentences(text))
+    ahead, back, first, n = [], [], 0, 0
+    # first: where the unit that ends with the sentence i starts, or would start
+    for i, x in enumerate(found):
+        n += x[3]
+        while n - found[first][3] >= least:
+            # no later end is nearer to this start
+            if not ahead or ahead[-1][0] < first:
+                ahead.append((first, i))
+            n -= found[first][3]
+            first += 1
         if n >= least:
-            out.append((start, stop, " ".join(words), True))
-            start, words, n = None, [], 0
-        end = stop
-    if words:
-        out.append((start, end, " ".join(words), False))
-    return out
+            back.append((first, i))
+            if not ahead or ahead[-1][0] < first:
+                ahead.append((first, i))
+    if not back:
+        return [(found[0][0], found[-1][1], " ".join(x[2] for x in found), False)] if found else []
+    return [(found[i][0], found[j][1], found[i][2] if i == j else " ".join([x[2] for x in found[i:j + 1]]), True) for i, j in sorted({*ahead, *back})]
 
 
 def digests(found: list[tuple[int, int, str, bool]]) -> list[bytes]:
-    """128 bits of each unit. A short unit is digested with the whole one before it, so that it goes only where that repeats as well; the only unit of a short text is
-    digested as such, so that it goes only where the whole text repeats."""
-    out, so_far = [], ""
-    for _, _, words, whole in found:
-        so_far = words if whole else f"{so_far}\n{words}"
-        out.append(hashlib.blake2b(so_far.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-    return out
+    """128 bits of each unit; the only unit of a short text is digested as such, so that it goes only where the whole text repeats."""
+    return [hashlib.blake2b((words if whole else f"\n{words}").encode("utf-8", "surrogatepass"), digest_size=16).digest() for _, _, words, whole in found]
 
 
 def duplicates(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
@@ -75,7 +78,8 @@ def duplicates(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     version: a hash of the text, so rows that repeat a doc_id with another text stay apart; exact repeats of a row have equal ranks and don't remove each other.
 
     Each batch sends one row for a digest to the shuffle, its earliest; the others can't be the earliest of all, so they are known to go. A digest that very many
-    documents share is thus combined before the shuffle. Null texts have no units; rows with a null doc_id take no part."""
+    documents share is thus combined before the shuffle. Of a unit that overlaps the earliest one with its digest, what follows that one goes. Null texts have no units; rows with a null doc_id
+    take no part."""
     names = ["known", "a", "b", "doc_id", "version", "unit", "start", "end"]
 
     def run(batches):
@@ -96,6 +100,8 @@ def duplicates(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
             new = np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1)))
             first = row[np.flatnonzero(new)[np.cumsum(new) - 1]]
             known = (row[:, 0] != first[:, 0]) | (row[:, 2] != first[:, 2])
+            within = known & (row[:, :2] == first[:, :2]).all(axis=1)
+            row[within, 3] = np.maximum(row[within, 3], first[within, 4])
             key = np.where(known[:, None], np.stack([row[:, 1] ^ row[:, 2], row[:, 0]], axis=1), key)  # dealt anywhere
             for s in range(0, len(row), 1 << 17):
                 e = s + (1 << 17)
@@ -109,11 +115,13 @@ def duplicates(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 
 
 def removed_spans(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, version and spans (array of start and end, in order; neighbouring units are joined where the next begins where one ends) of documents that lose text."""
-    spans = duplicates(docs, least).distinct().groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias("s"))
-    opens = F.filter("s", lambda x, i: (i == 0) | (x["start"] != F.get("s", F.greatest(i - 1, F.lit(0)))["end"]))
-    closes = F.filter("s", lambda x, i: (i == F.size("s") - 1) | (x["end"] != F.coalesce(F.get("s", i + 1)["start"], F.lit(-1))))
-    return spans.select("doc_id", "version", F.zip_with(opens, closes, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end"))).alias("spans"))
+    """doc_id, version and spans (array of start and end, in order; units that overlap or meet are joined) of documents that lose text."""
+    text = Window.partitionBy("doc_id", "version").orderBy("start", "end")
+    so_far = F.max("end").over(text.rowsBetween(Window.unboundedPreceding, -1))
+    late = duplicates(docs, least).withColumn("opens", F.coalesce(F.col("start") > so_far, F.lit(True)).cast("long"))
+    numbered = late.withColumn("span", F.sum("opens").over(text.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = numbered.groupBy("doc_id", "version", "span").agg(F.struct(F.min("start").cast("int").alias("start"), F.max("end").cast("int").alias("end")).alias("s"))
+    return spans.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list("s")).alias("spans"))
 
 
 def remaining(text, spans):

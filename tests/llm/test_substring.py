@@ -101,3 +101,19 @@ def test_short_lines_and_unspaced_scripts_go(spark):
     assert all(all(substring.digests(substring.units(t))) for t in texts)
     # few words that are part of another text aren't its copy
     assert run(spark, [(1, "Too few words. Then some more of them follow here."), (2, "Too few words.")]) == []
+
+
+def test_passage_of_short_sentences(spark):
+    """A repeated passage goes whole, whatever stands before it in its line or above, and whatever its sentences' lengths."""
+    rng = random.Random(9)
+    for lengths in ([5] * 20, [rng.randrange(1, 12) for _ in range(30)], [2, 10, 3]):
+        passage = [" ".join(f"w{i}x{j}" for j in range(n)) + "." for i, n in enumerate(lengths)]
+        for gap in (" ", "\n"):
+            body = gap.join(passage)
+            rows = [(1, body), (2, f"Five words stand before it.{gap}{body}"), (3, f"One more.{gap}And another two.{gap}{body}{gap}Then the end.")]
+            words = {i: t.split() for i, t in run(spark, rows)}
+            assert words == {2: "Five words stand before it.".split(), 3: "One more. And another two. Then the end.".split()}
+
+
+def test_overlapping_repeats_leave_a_whole_unit(spark):
+    assert run(spark, [(1, "Row your own boat. " * 10)]) == [(1, "Row your own boat. " * 2)]
