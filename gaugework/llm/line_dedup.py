@@ -1,16 +1,20 @@
 """Operator 10: line deduplication by winnowing. Runs of GRAM lines are hashed, the minimum of every WINDOW neighbouring runs is a fingerprint, each later place of
 a fingerprint is joined with its earliest one, the match is extended both ways along the lines of both documents, and the later run goes. Any repeated run of
-GRAM + WINDOW - 1 lines holds a fingerprint. Column expressions only."""
+GRAM + WINDOW - 1 lines holds a fingerprint. A line of ALONE words is compared by itself too, wherever it stands. Column expressions only."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugework.llm import base
 
 #: Lines of a fingerprint, and neighbouring fingerprints of which the least is kept.
 GRAM, WINDOW = 2, 2
+#: Fewest words of a line that goes by itself where it repeats; of scripts without blanks, two letters (Han and kana) or four (Thai, Lao, Tibetan, Burmese, Khmer) are a word.
+ALONE = 8
+_BLANK, _TWO, _FOUR = r"\x20\x09-\x0D", r"぀-ヿ㐀-鿿豈-﫿ｦ-ﾝ\x{20000}-\x{3ffff}", r"฀-႟ក-៿"
+_ALONE = rf"^[{_BLANK}]*+(?:[^{_BLANK}]++[{_BLANK}]++){{{ALONE - 1}}}[^{_BLANK}]|^(?:[^{_TWO}]*+[{_TWO}]){{{2 * ALONE}}}|^(?:[^{_FOUR}]*+[{_FOUR}]){{{4 * ALONE}}}"
 
 
 def line_array(text: Column) -> Column:
@@ -18,35 +22,42 @@ def line_array(text: Column) -> Column:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, version (a hash of the text, so rows that repeat a doc_id with another text stay apart), h (hashes of the lines with a word, trimmed) and at (their
-    numbers in the text, from 0). Rows with a null doc_id or text take no part; exact repeats of a row count once."""
-    lines = F.filter(F.transform(line_array(F.col("text")), lambda x, i: F.struct(F.trim(x, F.lit(" \t\r\x0b\x0c")).alias("x"), i.alias("i"))), lambda x: x["x"] != "")
+    """doc_id, version (a hash of the text, so rows that repeat a doc_id with another text stay apart), h (hashes of the lines with a word, trimmed), at (their numbers
+    in the text, from 0) and alone (the places in h of lines of ALONE words). Rows with a null doc_id or text take no part; exact repeats of a row count once."""
+    line = lambda x, i: F.struct(F.trim(x, F.lit(" \t\r\x0b\x0c")).alias("x"), i.alias("i"), x.rlike(_ALONE).alias("alone"))
+    lines = F.filter(F.transform(line_array(F.col("text")), line), lambda x: x["x"] != "")
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), lines.alias("l"))
-    rows = base.where_computed(rows, F.size("l") >= GRAM)
-    return rows.select("doc_id", "version", F.transform("l", lambda x: F.xxhash64(x["x"])).alias("h"), F.transform("l", lambda x: x["i"]).alias("at"))
+    rows = base.where_computed(rows, (F.size("l") >= GRAM) | F.exists("l", lambda x: x["alone"]))
+    alone = F.filter(F.transform("l", lambda x, j: F.when(x["alone"], j)), lambda j: j.isNotNull())
+    return rows.select("doc_id", "version", F.transform("l", lambda x: F.xxhash64(x["x"])).alias("h"), F.transform("l", lambda x: x["i"]).alias("at"), alone.alias("alone"))
 
 
 def fingerprints(lines: DataFrame) -> DataFrame:
-    """doc_id, version, g (hash of GRAM lines) and p (number of the first of them among the lines with a word): of every WINDOW neighbours the least, the last of equal ones."""
+    """doc_id, version, g (hash of GRAM lines), p (number of the first of them among the lines with a word) and a null `line`: of every WINDOW neighbours the least, the
+    last of equal ones. Lines of ALONE words have rows of their own, with `line`, their number in the text."""
     h = F.col("h")
     grams = F.transform(F.slice(h, F.lit(1), F.size(h) - (GRAM - 1)), lambda x, i: F.xxhash64(x, *(F.get(h, i + j) for j in range(1, GRAM))))
-    rows = lines.select("doc_id", "version", grams.alias("g"))
+    rows = lines.select("doc_id", "version", "h", "at", "alone", grams.alias("g"))
     g = F.col("g")
     starts = F.sequence(F.lit(0), F.greatest(F.size(g) - WINDOW, F.lit(0)))
     window = lambda s: F.transform(F.slice(g, s + 1, F.lit(WINDOW)), lambda x, j: F.struct(x.alias("g"), (-(s + j)).alias("p")))
-    least = F.transform(starts, lambda s: F.array_min(window(s)))
-    return rows.select("doc_id", "version", F.explode(F.array_distinct(least)).alias("f")).select("doc_id", "version", F.col("f.g").alias("g"), (-F.col("f.p")).alias("p"))
+    least = F.filter(F.transform(starts, lambda s: F.array_min(window(s))), lambda f: f.isNotNull())
+    runs = F.transform(F.array_distinct(least), lambda f: F.struct(f["g"].alias("g"), (-f["p"]).alias("p"), F.lit(None).cast("int").alias("line")))
+    alone = F.transform("alone", lambda j: F.struct(F.xxhash64(F.get(h, j), F.lit(1)).alias("g"), j.alias("p"), F.get("at", j).alias("line")))
+    return rows.select("doc_id", "version", F.explode(F.concat(runs, alone)).alias("f")).select("doc_id", "version", "f.g", "f.p", "f.line")
 
 
 def later_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, version, runs: (start, end) of the line numbers, end exclusive, of runs that repeat an earlier place: one at a smaller doc_id, or earlier in the document."""
+    """doc_id, version, runs: (start, end) of the line numbers, end exclusive, of runs and of lines of ALONE words that repeat an earlier place: one at a smaller doc_id, or
+    earlier in the document. In order; those that overlap or meet are joined."""
     lines = base.written(numbered(docs).distinct())
     prints = fingerprints(lines)
     place = F.struct("doc_id", "p", "version")
     # the earliest place is a minimum, combined before the shuffle: a fingerprint that a third of all rows hold costs a row a task
     first = prints.groupBy("g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     matches = prints.join(first, "g").where((F.col("doc_id") > F.col("first.doc_id")) | ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("version") == F.col("first.version")) & (F.col("p") > F.col("first.p"))))
-    diagonals = matches.select("doc_id", "version", F.col("first.doc_id").alias("a_doc"), F.col("first.version").alias("a_version"), (F.col("first.p") - F.col("p")).alias("shift")).distinct()
+    matches = base.written(matches.select("doc_id", "version", "p", "line", "first"))
+    diagonals = matches.where("line IS NULL").select("doc_id", "version", F.col("first.doc_id").alias("a_doc"), F.col("first.version").alias("a_version"), (F.col("first.p") - F.col("p")).alias("shift")).distinct()
     early = lines.select(F.col("doc_id").alias("a_doc"), F.col("version").alias("a_version"), F.col("h").alias("a"))
     pairs = diagonals.join(early, ["a_doc", "a_version"]).join(lines, ["doc_id", "version"])
     # lines of the two documents side by side along the diagonal; a run of GRAM equal ones or more goes
@@ -60,22 +71,33 @@ def later_runs(docs: DataFrame) -> DataFrame:
     closes = F.concat("breaks", F.array(F.col("n")))
     runs = F.filter(F.zip_with(opens, closes, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda r: r["b"] - r["a"] >= GRAM)
     told = F.transform(runs, lambda r: F.struct(F.get("at", F.col("low") + r["a"]).alias("start"), (F.get("at", F.col("low") + r["b"] - 1) + 1).alias("end")))
-    return rows.select("doc_id", "version", F.explode(told).alias("r")).groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("r")).alias("runs"))
+    alone = matches.where("line IS NOT NULL").select("doc_id", "version", F.col("line").alias("start"), (F.col("line") + 1).alias("end"))
+    found = rows.select("doc_id", "version", F.explode(told).alias("r")).select("doc_id", "version", "r.start", "r.end").union(alone)
+    text = Window.partitionBy("doc_id", "version").orderBy("start", "end")
+    so_far = F.max("end").over(text.rowsBetween(Window.unboundedPreceding, -1))
+    opened = found.withColumn("opens", F.coalesce(F.col("start") > so_far, F.lit(True)).cast("long"))
+    joined = opened.withColumn("run", F.sum("opens").over(text.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    joined = joined.groupBy("doc_id", "version", "run").agg(F.struct(F.min("start").alias("start"), F.max("end").alias("end")).alias("r"))
+    return joined.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list("r")).alias("runs"))
 
 
 def without_runs(docs: DataFrame) -> DataFrame:
     """All rows and columns of docs, __runs (null where nothing goes) and __text: text without the lines of its runs."""
     runs = later_runs(docs.select("doc_id", "text")).withColumnsRenamed({"doc_id": "__doc", "version": "__version", "runs": "__runs"})
     joined = docs.join(runs, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__version")), "left")
-    kept = F.filter(line_array(F.col("text")), lambda x, i: ~F.exists("__runs", lambda r: (i >= r["start"]) & (i < r["end"])))
-    return joined.withColumn("__text", F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    joined = joined.withColumn("__lines", F.when(F.col("__runs").isNotNull(), line_array(F.col("text"))))
+    # the lines before each run, and after the last
+    ends = F.concat(F.array(F.lit(0)), F.transform("__runs", lambda r: r["end"]))
+    starts = F.concat(F.transform("__runs", lambda r: r["start"]), F.array(F.size("__lines")))
+    kept = F.flatten(F.zip_with(ends, starts, lambda a, b: F.slice("__lines", a + 1, b - a)))
+    return joined.withColumn("__text", F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("__lines")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, removed (array of start and end of line numbers from 0, end exclusive; they may overlap) and text (what remains) of the documents that lose lines.
+    """doc_id, removed (array of start and end of line numbers from 0, end exclusive, in order) and text (what remains) of the documents that lose lines.
 
     Lines are compared without the blanks at their ends; lines without a word are neither compared nor break a run, and go only inside one. Documents of fewer than GRAM such
-    lines, null and empty texts and empty tables lose nothing. The earliest place is by doc_id, then by line; an exact repeat of a row, doc_id included, counts as the same place.
+    lines lose only lines of ALONE words; null and empty texts and empty tables lose nothing. The earliest place is by doc_id, then by line; an exact repeat of a row, doc_id included, counts as the same place.
     Texts are read whole; extra columns are left out."""
     docs = base.own_columns(docs, "doc_id", "text")
     return without_runs(docs).where("__runs IS NOT NULL").select("doc_id", F.col("__runs").alias("removed"), F.col("__text").alias("text"))

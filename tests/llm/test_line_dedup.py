@@ -110,3 +110,19 @@ def test_keep_first(spark):
     got = line_dedup.keep_first(df)
     assert got.columns == df.columns and got.schema["n_chars"].dataType == df.schema["n_chars"].dataType
     assert sorted(map(tuple, got.collect()), key=lambda r: r[2]) == [rows[0], ("a", 1, 3), rows[3], rows[4]]
+
+
+def test_single_long_lines(spark):
+    """A repeated line of eight words goes by itself, in documents of one line too; one of seven stays."""
+    long, short = "one two three four five six seven eight", "one two three four five six seven"
+    chinese = "没有空格的中文行也有足够多的字可以比较"
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n  {long}\r\nd\n{long}"), (3, long), (4, short), (5, short), (6, chinese), (7, f"e\n{chinese}"), (8, chinese[:15]), (9, chinese[:15])]
+    assert run(spark, rows) == [(2, "c\nd"), (3, ""), (7, "e")]
+    assert run(spark, [(1, f"{long}\n{long}"), (1, f"{long}\n{long}")]) == [(1, long), (1, long)]
+
+
+def test_removed_spans_are_joined(spark):
+    lines = [f"line {i} with some more words so that there are eight" for i in range(5)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["a", *lines, "b", lines[3]]))], "doc_id long, text string")
+    (row,) = line_dedup.deduplicated(df).collect()
+    assert (row["doc_id"], row["text"], [tuple(x) for x in row["removed"]]) == (2, "a\nb", [(1, 6), (7, 8)])
