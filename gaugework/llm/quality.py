@@ -1,5 +1,6 @@
 """Operator 6: quality rules. Counts that need no model, and a log-likelihood ratio of hashed word 1- and 2-grams between the multinomials of a trusted target
-(documents labelled as good) and of the raw corpus (all documents), for each n-gram of a document. Column expressions only."""
+(documents labelled as good) and of the raw corpus (all documents), for each n-gram of a document. The target is weighted to the raw corpus's mix of languages and
+sources, so that a document isn't judged by how many of its kind are labelled. Column expressions only."""
 
 from __future__ import annotations
 
@@ -12,6 +13,9 @@ from gaugework.llm import base
 BUCKETS = 1 << 14
 #: Counts that the raw distribution weighs as the target's prior: with far fewer trusted n-grams than these, every ratio is near 0.
 PRIOR = 10 * BUCKETS
+#: The columns, where there are any, whose mix the target takes from the raw corpus; each of their groups has its share of PRIOR, and so many counts at least.
+STRATA = ("lang", "source")
+LEAST_PRIOR = BUCKETS
 #: Documents below this log-likelihood ratio an n-gram (nats) are rejected.
 LEAST_RATIO = -0.04
 #: Fewest words, and the largest share of words in repeated windows (percent), of the base rules.
@@ -19,7 +23,7 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 WINDOW = 3
 #: Up to so many distinct repeated windows of a text are looked up in a list.
 FEW_REPEATS = 8
-#: Labelled ids are broadcast up to this many rows (8 bytes each); beyond, the join is shuffled.
+#: Labelled ids and strata are broadcast up to this many rows (8 bytes each); beyond, the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -44,20 +48,40 @@ def ngram_buckets(words: Column) -> Column:
     return F.concat(F.transform(words, bucket), two_grams(words, bucket))
 
 
+def strata_weights(flagged: DataFrame) -> tuple[DataFrame, float]:
+    """The strata of flagged (STRATA, text, good), with `good_weight` and `back_weight` of an n-gram in a good and in any document of theirs, and the sum of the back
+    weights by the strata's shares. A stratum's target is its good n-grams, smoothed by its raw ones with its prior; its share is that among the raw ones. Without good
+    documents it is thus the raw stratum, which speaks neither for nor against."""
+    n = F.greatest(2 * F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long") - 1, F.lit(0))
+    rows = base.written(flagged.select(*STRATA, "good", n.alias("n")).groupBy(*STRATA).agg(F.sum("n").alias("raw"), F.sum(F.col("good") * F.col("n")).alias("target")))
+    total = rows.agg(F.sum("raw")).first()[0]
+    share = F.col("raw") / F.lit(float(total)) if total else F.lit(0.0)
+    prior = F.greatest(PRIOR * share, F.lit(float(LEAST_PRIOR)))
+    strata = rows.select(*STRATA, share.alias("share"), (share / (F.col("target") + prior)).alias("good_weight"), (prior / (F.col("target") + prior)).alias("back_weight"))
+    return strata.drop("share"), strata.agg(F.sum(F.col("share") * F.col("back_weight"))).first()[0] if total else 1.0
+
+
 def weights(docs: DataFrame, trusted: DataFrame) -> Column:
     """log(target / raw) of every bucket, as an array literal. Raw counts have one added to each bucket; the target's prior is the raw distribution, with the weight of
-    PRIOR counts, so that few trusted documents say little rather than speak against all that they lack. All documents are counted; what reaches the driver is
-    one row of BUCKETS numbers. Without documents or trusted ids every weight is 0."""
+    PRIOR counts, so that few trusted documents say little rather than speak against all that they lack; both stratum by stratum (see strata_weights). All documents
+    are counted; what reaches the driver is one row of BUCKETS numbers. Without documents or trusted ids every weight is 0."""
     ids = trusted.select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct()
     if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    flagged = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id"), "left")
-    words = flagged.select(F.col("__id").isNotNull().cast("long").alias("good"), word_array(F.coalesce("text", F.lit(""))).alias("words"))
-    counts = words.select("good", F.explode(ngram_buckets(F.col("words"))).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
+    kinds = [(F.col(c) if c in docs.columns else F.lit(None)).cast("string").alias(c) for c in STRATA]
+    flagged = docs.select("doc_id", "text", *kinds).join(ids, F.col("doc_id") == F.col("__id"), "left").withColumn("good", F.col("__id").isNotNull().cast("long"))
+    strata, back = strata_weights(flagged)
+    strata = strata.withColumnsRenamed({c: f"__{c}" for c in STRATA})
+    if strata.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        strata = F.broadcast(strata)
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in STRATA]
+    weighed = flagged.join(strata, same).select((F.col("good") * F.col("good_weight")).alias("good_weight"), "back_weight", word_array(F.coalesce("text", F.lit(""))).alias("words"))
+    counts = weighed.select("good_weight", "back_weight", F.explode(ngram_buckets(F.col("words"))).alias("b"))
+    counts = counts.groupBy("b").agg(F.count("*").alias("raw"), F.sum("good_weight").alias("target"), F.sum("back_weight").alias("back"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").na.fill(0)
-    every = every.groupBy().agg(F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"), F.sort_array(F.collect_list(F.struct("b", "raw", "target"))).alias("rows"))
-    raw = lambda r: (r["raw"] + 1) / (F.col("n_raw") + BUCKETS)
-    ratio = F.transform("rows", lambda r: F.log((r["target"] + PRIOR * raw(r)) / (F.col("n_target") + PRIOR) / raw(r)))
+    every = every.groupBy().agg(F.sum("raw").alias("n_raw"), F.sort_array(F.collect_list(F.struct("b", "raw", "target", "back"))).alias("rows"))
+    size = F.col("n_raw") + BUCKETS
+    ratio = F.transform("rows", lambda r: F.log((r["target"] * size + r["back"] + F.lit(back)) / (r["raw"] + 1)))
     told = every.select(F.array_join(F.transform(ratio, lambda x: x.cast("string")), ",")).first()[0]
     return F.split(F.lit(told), ",").cast("array<double>")
 
@@ -108,9 +132,8 @@ def assess(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, ratio of every row.
 
     trusted holds the doc_id of good documents (repeated and null ids don't matter). A null text counts as empty: no words, base_failed. A text is worked on as a
-    whole, in time n log n. Ties: a ratio equal to LEAST_RATIO is kept. Repeated rows are rows of their own; other columns are left out."""
-    docs = base.own_columns(docs, "doc_id", "text")
-    return measured(docs, weights(docs, trusted)).select(
+    whole, in time n log n. Ties: a ratio equal to LEAST_RATIO is kept. Repeated rows are rows of their own; of other columns, only STRATA are used."""
+    return measured(base.own_columns(docs, "doc_id", "text"), weights(docs, trusted)).select(
         "doc_id", "__q.n_words", "__q.word_chars", "__q.n_symbols", "__q.n_dup_lines", "__q.n_repeat_words", "__q.base_failed", "__q.kept", "__q.ratio"
     )
 

@@ -87,3 +87,16 @@ def test_empty(spark):
 def test_native(spark):
     df = spark.createDataFrame(_corpus()[:5], "doc_id long, text string")
     assert "Python" not in quality.assess(df, df.select("doc_id"))._jdf.queryExecution().executedPlan().toString().replace("PythonRDD", "").replace("ExistingRDD", "")
+
+
+def test_mix_of_languages_and_sources(spark):
+    """A source with a third of all rows, unlabelled, and a language with few labels are judged by their junk alone."""
+    rng = random.Random(4)
+    words = {k: [f"{k}{i}" for i in range(300)] for k in ("en", "fr", "hot", "junk")}
+    kinds = [("en", "a", "en", 40), ("fr", "a", "fr", 30), ("en", "b", "hot", 45), ("en", "a", "junk", 10), ("fr", "a", "junk", 5), ("en", "b", "junk", 5)]
+    rows = [(" ".join(rng.choices(words[w], k=1500)), lang, source, w) for lang, source, w, n in kinds for _ in range(n)]
+    df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    trusted = spark.createDataFrame([(i,) for i in [*range(30), *range(40, 46)]], "doc_id long")
+    kept = {r["doc_id"] for r in quality.assess(df, trusted).where("kept").collect()}
+    assert kept == {i for i, r in enumerate(rows) if r[3] != "junk"}
+    assert {r["doc_id"] for r in quality.keep_good(df, trusted).collect()} == kept
