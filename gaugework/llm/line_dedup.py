@@ -1,6 +1,6 @@
 """Operator 10: line deduplication by winnowing. Runs of GRAM lines are hashed, the minimum of every WINDOW neighbouring runs is a fingerprint, each later place of
 a fingerprint is joined with its earliest one, the match is extended both ways along the lines of both documents, and the later run goes. Any repeated run of
-GRAM + WINDOW - 1 lines holds a fingerprint. A line of ALONE words is compared by itself too, wherever it stands. Column expressions only."""
+GRAM + WINDOW - 1 lines holds a fingerprint; but where its earliest place shares fewer lines of the run than another, a line at the ends can stay. A line of ALONE words is compared by itself too, wherever it stands. Column expressions only."""
 
 from __future__ import annotations
 
