@@ -153,24 +153,31 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 
 class Remembered:
-    """What was worked out for distinct keys, in two generations of bounded size: a key that was not asked for during a whole generation drops out."""
+    """What was worked out (bytes) for distinct keys (texts), in two generations of bounded size: a key that was not asked for during a whole generation drops out."""
+
+    #: Bytes of an entry besides the letters of its key and its value.
+    ENTRY = 250
 
     def __init__(self, most: int):
-        self.most, self.known, self.older = most, {}, {}
+        self.most, self.used, self.known, self.older = most, 0, {}, {}
 
     def missing(self, keys) -> list:
-        """Keys that have to be worked out and put into `known`; the others are there afterwards."""
-        if len(self.known) > self.most:
-            self.known, self.older = {}, self.known
+        """Keys that have to be worked out and put; the others are in `known` afterwards. `known` may be another generation then."""
+        if self.used > self.most:
+            self.known, self.older, self.used = {}, self.known, 0
         known, older, out = self.known, self.older, []
         for k in keys:
             if k not in known:
                 if k in older:
-                    known[k] = older[k]
+                    self.put(k, older[k])
                 else:
                     out.append(k)
         return out
 
+    def put(self, key: str, value: bytes) -> None:
+        self.known[key] = value
+        self.used += self.ENTRY + (len(key) if key.isascii() else 4 * len(key)) + len(value)
+
 
 def where_computed(df: DataFrame, condition: Column) -> DataFrame:
     """df.where(condition) for a condition on costly computed columns. The optimiser would move the filter below the projections that make them and so repeat

@@ -1,11 +1,11 @@
-"""Operator 5: byte-level BPE. Each distinct piece of a batch becomes rows of (word, position, token) in DuckDB; a recursive query joins them
-with the merge table and contracts each word's leftmost pair of least rank until no pair is left; decoding is an ordered aggregation."""
+"""Operator 5: byte-level BPE. Each distinct piece of a batch is cut where no token of the vocabulary spans, which no merge crosses; the words so found become rows of
+(word, position, token) in DuckDB; a recursive query joins them with the merge table and contracts each word's leftmost pair of least rank until no pair is left;
+decoding is an ordered aggregation."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -15,14 +15,18 @@ from pyspark.sql import types as T
 
 from gaugework.llm import base
 
-#: Pieces beyond this many bytes are merged with a heap instead: the recursion copies a word once for each merge, which is quadratic in its length.
-LONGEST_IN_SQL = 400
-#: Distinct pieces in each of the two generations that a Python worker remembers between batches; those that drop out are encoded again when they come back.
-REMEMBERED = 250_000
-#: Distinct pieces in one recursive query.
-WORDS_A_QUERY = 20_000
-
-_CONTRACT = """
+#: Words up to this many bytes are copied whole at each step of the recursion, n * n / 2 rows for n bytes; longer ones are held by key, of which a step replaces only what changed.
+COPIED = 256
+#: Rows of one recursive query: all steps of words that are copied, or the bytes of those held by key (one word at least).
+COPIED_ROWS, KEYED_ROWS = 3_000_000, 400_000
+#: Memory of DuckDB: at least, and for each byte of a single word that is longer than KEYED_ROWS.
+MEMORY, MEMORY_A_BYTE = 300 << 20, 400
+#: Bytes of each of the two generations of pieces that a Python worker remembers between batches; those that drop out are encoded again when they come back.
+REMEMBERED = 64 << 20
+#: Bytes of a run of which a token may hold a part; shorter tokens are looked up whole.
+SPAN = 6
+
+_STEPS = """
 WITH RECURSIVE s(w, step, pos, tok) AS (
   SELECT w, 0, pos, tok FROM pieces
   UNION ALL
@@ -37,9 +41,43 @@ WITH RECURSIVE s(w, step, pos, tok) AS (
    FROM s JOIN least USING (w)
    WHERE s.pos <> k % 1048576 + 1)
 )
+"""
+_CONTRACT = f"""{_STEPS}
 SELECT w, tok FROM s QUALIFY step = max(step) OVER (PARTITION BY w) ORDER BY w, pos
 """
 
+# The same contractions with rows (w, pos) of which each step replaces some: nxt is the position of the next token, rank that of the pair of both. A step contracts
+# every pair of a word's least rank, those that overlap from the left on. Where all tokens are made of tokens of lesser rank, no pair that comes up has a lesser rank than
+# the one contracted, so this is what one pair a step gives; else (`single`) a step contracts the leftmost alone.
+_CONTRACT_KEYED = """
+WITH RECURSIVE s(w, pos, nxt, tok, rank) USING KEY (w, pos) AS (
+  SELECT a.w, a.pos, a.nxt, a.tok, m.rank
+  FROM pieces a LEFT JOIN pieces z ON z.w = a.w AND z.pos = a.nxt LEFT JOIN merges m ON m.pair = a.tok::BIGINT * 1048576 + z.tok
+  UNION
+  (WITH least AS (
+     SELECT r.w, min(r.rank) AS k FROM recurring.s r SEMI JOIN (SELECT DISTINCT w FROM s) live ON live.w = r.w WHERE r.rank IS NOT NULL GROUP BY r.w),
+   told AS (
+     SELECT r.w, r.pos, r.nxt, l.k, row_number() OVER o AS i, lag(r.nxt) OVER o IS NOT DISTINCT FROM r.pos AS chained
+     FROM recurring.s r JOIN least l ON l.w = r.w AND l.k = r.rank WINDOW o AS (PARTITION BY r.w ORDER BY r.pos)),
+   chosen AS (
+     SELECT w, pos, nxt, k FROM told WHERE i = 1 OR NOT {single}
+     QUALIFY (i - max(CASE WHEN NOT chained THEN i END) OVER (PARTITION BY w ORDER BY pos)) % 2 = 0),
+   joined AS MATERIALIZED (
+     SELECT c.w, c.pos, c.nxt AS gone, r.nxt, c.k AS tok FROM chosen c JOIN recurring.s r ON r.w = c.w AND r.pos = c.nxt),
+   changed AS (
+     SELECT w, pos, nxt, tok FROM joined
+     UNION ALL
+     SELECT r.w, r.pos, r.nxt, r.tok FROM recurring.s r SEMI JOIN joined j ON j.w = r.w AND j.pos = r.nxt ANTI JOIN joined g ON g.w = r.w AND g.gone = r.pos WHERE r.tok >= 0),
+   paired AS (
+     SELECT c.w, c.pos, c.nxt, c.tok, coalesce(j.tok, r.tok) AS other
+     FROM changed c LEFT JOIN joined j ON j.w = c.w AND j.pos = c.nxt LEFT JOIN recurring.s r ON r.w = c.w AND r.pos = c.nxt)
+   SELECT p.w, p.pos, p.nxt, p.tok, m.rank FROM paired p LEFT JOIN merges m ON m.pair = p.tok::BIGINT * 1048576 + p.other
+   UNION ALL
+   SELECT w, gone, NULL, -1, NULL FROM joined)
+)
+SELECT w, tok FROM s WHERE tok >= 0 ORDER BY w, pos
+"""
+
 _DECODE = """
 SELECT d, array_to_string(list(bytes ORDER BY pos), '') AS bytes
 FROM ids JOIN vocabulary USING (id) GROUP BY d
@@ -50,8 +88,29 @@ def parse_ranks(blob: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in blob.splitlines() if line)}
 
 
+def _marked(grams: np.ndarray) -> np.ndarray:
+    """A table of bits (a byte each) by the hash of a gram; another gram that falls on one only means that a place isn't cut."""
+    out = np.zeros(1 << 22, bool)
+    out[_slot(grams)] = True
+    return out
+
+
+def _slot(grams: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
+
+
+def _grams(raw: np.ndarray, n: int) -> np.ndarray:
+    """The runs of n bytes at each place, as numbers."""
+    size = max(len(raw) - n + 1, 0)
+    out = np.zeros(size, np.uint64)
+    for j in range(n):
+        out = out << np.uint64(8) | raw[j:j + size]
+    return out
+
+
 class Codec:
-    """Encoder and decoder of one Python worker. Memory is bounded: one DuckDB connection, REMEMBERED pieces, one batch."""
+    """Encoder and decoder of one Python worker. Memory is bounded: one DuckDB connection, REMEMBERED bytes of pieces, one batch."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import duckdb
@@ -67,75 +126,111 @@ class Codec:
                 if a is not None and b is not None:
                     pairs.append(a << 20 | b)
                     out.append(rank)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.inside = {n: _marked(self._token_grams([t for t in ranks if (len(t) == n if n < SPAN else len(t) >= n)], n)) for n in range(2, SPAN + 1)}
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY}B", "temp_directory": ""})
         self._load("merges", pair=pa.array(pairs, pa.int64()), rank=pa.array(out, pa.int32()))
         self._load("vocabulary", id=pa.array(list(ranks.values()), pa.int32()), bytes=pa.array([t.decode("latin-1") for t in ranks]))  # a character for each byte
+        self._orderly: bool | None = None
+
+    @staticmethod
+    def _token_grams(tokens: list[bytes], n: int) -> np.ndarray:
+        if not tokens:
+            return np.empty(0, np.uint64)
+        grams = _grams(np.frombuffer(b"".join(tokens), np.uint8), n)
+        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        room = np.repeat(np.cumsum(size), size) - np.arange(size.sum())  # bytes to the end of the token
+        return np.unique(grams[room[:len(grams)] >= n])
+
+    @property
+    def orderly(self) -> bool:
+        """Whether every token comes out as itself by merges of lesser rank alone, as in a vocabulary that was trained; only then may a step contract many pairs."""
+        if self._orderly is None:
+            tokens = sorted((t for t in self.ranks if len(t) > 1), key=len)
+            most = (x for some in self._queries(tokens) for x in self._run(f"{_STEPS} SELECT w, max(tok) AS tok FROM s GROUP BY w ORDER BY w", some))
+            self._orderly = all(m[0] == self.ranks[t] for m, t in zip(most, tokens, strict=True))
+        return self._orderly
 
     def _load(self, name: str, **columns) -> None:
         self.con.register("incoming", pa.table(columns))
         self.con.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self.con.unregister("incoming")
 
-    def contract(self, words: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each word, by the recursive query."""
-        if not words:
-            return []
+    def cuts(self, words: list[bytes]) -> list[list[bytes]]:
+        """Each word cut at every place that no token spans: none of up to SPAN - 1 bytes, and no SPAN bytes that occur in a token."""
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        spanned = np.zeros(len(raw) + 1, bool)  # by the byte after the place
+        for n, table in self.inside.items():
+            held = table[_slot(_grams(raw, n))]
+            for j in range(1, n):
+                spanned[j:j + len(held)] |= held
+        limits = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        spanned[limits] = False
+        at = np.flatnonzero(~spanned[1:]) + 1
+        last = np.searchsorted(at, limits, side="right")
+        out, first, start = [], 0, 0
+        for word, end in zip(words, last.tolist(), strict=True):
+            if end - first == 1:
+                out.append([word])
+            else:
+                ends = (at[first:end] - start).tolist()
+                out.append([word[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+            first, start = end, start + len(word)
+        return out
+
+    @staticmethod
+    def _queries(words: list[bytes]):
+        """Runs of words, which are in the order of their lengths, for one query each."""
+        start = rows = 0
+        for i, w in enumerate(words):
+            copied = len(w) <= COPIED
+            more = len(w) * (len(w) + 3) // 2 if copied else len(w)
+            if i > start and (rows + more > (COPIED_ROWS if copied else KEYED_ROWS) or copied != (len(words[i - 1]) <= COPIED)):
+                yield words[start:i]
+                start, rows = i, 0
+            rows += more
+        if start < len(words):
+            yield words[start:]
+
+    def _run(self, query: str, words: list[bytes]) -> list[np.ndarray]:
         raw = np.frombuffer(b"".join(words), np.uint8)
         n = np.fromiter(map(len, words), np.int64, len(words))
-        first = np.cumsum(n) - n
-        self.con.register("pieces", pa.table({
-            "w": np.repeat(np.arange(len(words), dtype=np.int32), n),
-            "pos": (np.arange(len(raw)) - np.repeat(first, n)).astype(np.int32),
-            "tok": self.byte[raw],
-        }))
-        out = self.con.sql(_CONTRACT).to_arrow_table()
+        pos = (np.arange(len(raw)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+        self.con.register("pieces", pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), n), "pos": pos, "nxt": pos + np.int32(1), "tok": self.byte[raw]}))
+        out = self.con.sql(query).to_arrow_table()
         self.con.unregister("pieces")
         w, tok = out["w"].to_numpy(), out["tok"].to_numpy()
         return np.split(tok.astype("<u4"), np.searchsorted(w, np.arange(1, len(words))))
 
-    def merge_long(self, word: bytes) -> np.ndarray:
-        """The same merges for one long piece, with a heap of (rank, position)."""
-        start = list(range(len(word)))
-        end = [i + 1 for i in start]
-        before, after = [i - 1 for i in start], [i + 1 for i in start]
-        alive = [True] * len(word)
-        heap: list[tuple[int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            if 0 <= i and after[i] < len(word):
-                rank = self.ranks.get(word[i:end[after[i]]])
-                if rank is not None:
-                    heapq.heappush(heap, (rank, i, end[i], end[after[i]]))
-
-        for i in start:
-            offer(i)
-        while heap:
-            _, i, mid, last = heapq.heappop(heap)
-            if not alive[i] or end[i] != mid or after[i] >= len(word) or end[after[i]] != last:
-                continue
-            gone = after[i]
-            alive[gone], end[i], after[i] = False, last, after[gone]
-            if after[i] < len(word):
-                before[after[i]] = i
-            offer(before[i])
-            offer(i)
-        return np.array([self.ranks[word[i:end[i]]] for i in start if alive[i]], "<u4")
+    def contract(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Token ids of distinct words, as bytes, by the recursive queries."""
+        out: dict[bytes, bytes] = {}
+        for some in self._queries(sorted(words, key=len)):
+            longest = len(some[-1])
+            if longest <= COPIED:
+                found = self._run(_CONTRACT, some)
+            else:
+                if longest > KEYED_ROWS:
+                    self.con.execute(f"SET memory_limit = '{MEMORY + MEMORY_A_BYTE * longest}B'")
+                found = self._run(_CONTRACT_KEYED.format(single=not self.orderly), some)
+                if longest > KEYED_ROWS:
+                    self.con.execute(f"SET memory_limit = '{MEMORY}B'")
+            out.update(zip(some, (ids.tobytes() for ids in found), strict=True))
+        return out
 
     def learn(self, pieces: set[str]) -> None:
         todo: list[str] = []
         for p in self.pieces.missing(pieces):
-            word = p.encode()
-            rank = self.ranks.get(word)
+            rank = self.ranks.get(p.encode())
             if rank is not None:
-                self.pieces.known[p] = rank.to_bytes(4, "little")
-            elif len(word) > LONGEST_IN_SQL:
-                self.pieces.known[p] = self.merge_long(word).tobytes()
+                self.pieces.put(p, rank.to_bytes(4, "little"))
             else:
                 todo.append(p)
-        for i in range(0, len(todo), WORDS_A_QUERY):
-            part = todo[i:i + WORDS_A_QUERY]
-            for p, ids in zip(part, self.contract([p.encode() for p in part]), strict=True):
-                self.pieces.known[p] = ids.tobytes()
+        if todo:
+            parts = self.cuts([p.encode() for p in todo])
+            ids = {w: r.to_bytes(4, "little") for w in {w for some in parts for w in some} if (r := self.ranks.get(w)) is not None} if parts else {}
+            ids |= self.contract(list({w for some in parts for w in some} - ids.keys()))
+            for p, some in zip(todo, parts, strict=True):
+                self.pieces.put(p, b"".join([ids[w] for w in some]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -225,7 +320,10 @@ def decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", out: str = "by
 
 
 def encode_digests(df: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encodes, then decodes what was encoded; the ids themselves don't leave the worker."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encodes, then decodes what was encoded; the ids themselves don't leave the worker.
+
+    A null or empty text has no ids; repeated rows and null doc_ids stay; an empty table gives no rows; any other column is left out, so its name can't clash. Texts are
+    encoded whole; memory follows the longest run of bytes without a place to cut."""
     spark = df.sparkSession
     base.ship(spark)
     blob = spark.sparkContext.broadcast(read_vocabulary(vocabulary_path))

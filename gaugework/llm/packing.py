@@ -20,8 +20,8 @@ from gaugework.llm import base
 TOKENS, SEGMENTS, LOSS = 4096, 512, 4096
 #: Examples that wait in one task for a place; more are packed before others are read.
 POOL = 1024
-#: Distinct words in each generation that a Python worker remembers.
-REMEMBERED = 300_000
+#: Bytes of each of the two generations of words that a Python worker remembers.
+REMEMBERED = 80 << 20
 #: Marks that are no letters, digits or apostrophes.
 MARKS = ".,;:!?"
 #: The id that ends a document.
@@ -54,9 +54,9 @@ class Words:
         for i in range(0, len(new), 50_000):
             some = new[i:i + 50_000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
+                self.words.put(w, array("I", e.ids).tobytes())
         for w, (core, end) in parts.items():
-            known[w] = known[core] + known[end]
+            self.words.put(w, known[core] + known[end])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
