@@ -16,6 +16,8 @@ DIMENSIONS = 1024
 UNKNOWN = "und"
 #: Trigram tables up to this size are counted in place; larger alphabets are sorted.
 TABLE = 1 << 22
+#: Characters that are looked at together, and trigrams and counts (texts by trigrams) of one product: what bounds a task's memory, whatever the texts hold.
+WINDOW, BLOCK, COUNTS = 1 << 20, 4096, 1 << 22
 
 
 class Letters:
@@ -51,6 +53,13 @@ class Letters:
         bits = np.unpackbits(words.view(np.uint8), axis=1)
         return bits.astype(np.int8) * np.int8(2) - np.int8(1)
 
+    def bound(self, keys: np.ndarray, size: int) -> np.ndarray:
+        """The vectors of trigrams (three numbers of letters below size in one): the product of the permuted vectors of their letters."""
+        used, parts = np.unique(np.stack([keys // (size * size), keys // size % size, keys % size]), return_inverse=True)
+        vectors = self.vectors(used)
+        first, second, third = parts.reshape(3, -1)
+        return np.roll(vectors, 2, axis=1)[first] * np.roll(vectors, 1, axis=1)[second] * vectors[third]
+
 
 _LETTERS: list[Letters] = []
 
@@ -61,53 +70,44 @@ def letters() -> Letters:
     return _LETTERS[0]
 
 
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the trigrams of all texts, each around a letter, where a run of other characters is one blank: the text's number, and the number of the trigram;
-    then the bound vectors of those trigrams."""
-    table = letters()
+def profiles(texts: list[str], group: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of the trigram vectors of each of n groups of texts (group: the number of each text's), and how many letters each group has. Each letter has a trigram,
+    of itself and of what stands beside it, where any other character, like an end of the text, is the same blank."""
+    out, found = np.zeros((n, DIMENSIONS)), np.zeros(n, np.int64)
     codes = np.frombuffer("\0".join(["", *texts, ""]).encode("utf-32-le"), "<u4")
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    owner = np.repeat(np.arange(len(texts)), lengths + 1)  # each text with the mark before it
-    owner = np.append(owner, [len(texts) - 1])
-    numbers = table.numbers(codes)
-    wanted = numbers != 0
-    keep = wanted.copy()
-    keep[0] = True
-    keep[1:] |= wanted[:-1]  # of each run of other characters, the first
-    numbers, owner = numbers[keep], owner[keep]
-    if numbers[-1] != 0:
-        numbers, owner = np.append(numbers, 0), np.append(owner, owner[-1])
-    a, b, c = numbers[:-2].astype(np.int64), numbers[1:-1].astype(np.int64), numbers[2:].astype(np.int64)
-    at = np.flatnonzero(b)
-    n = len(table.points)
-    key = (a[at] * n + b[at]) * n + c[at]
-    if n ** 3 <= TABLE:
-        seen = np.zeros(n ** 3, bool)
-        seen[key] = True
-        distinct = np.flatnonzero(seen)
-        place = np.zeros(n ** 3, np.int32)
-        place[distinct] = np.arange(len(distinct), dtype=np.int32)
-        which = place[key]
-    else:
-        distinct, which = np.unique(key, return_inverse=True)
-    used, parts = np.unique(np.stack([distinct // (n * n), distinct // n % n, distinct % n]), return_inverse=True)
-    vectors = table.vectors(used)
-    first, second, third = parts.reshape(3, -1)
-    bound = np.roll(vectors, 2, axis=1)[first] * np.roll(vectors, 1, axis=1)[second] * vectors[third]
-    return owner[1:-1][at], which, bound
-
-
-def bundles(group: np.ndarray, which: np.ndarray, bound: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the trigram vectors of each of n groups; blocks of trigrams keep the count matrix small. Exact: float32 holds these integers, float64 their sums."""
-    out = np.zeros((n, DIMENSIONS))
-    step = max(256, (1 << 22) // max(n, 1))
-    if len(bound) <= step:
-        return _product(np.bincount(group * len(bound) + which, minlength=n * len(bound)).reshape(n, len(bound)), bound)
-    for s in range(0, len(bound), step):
-        m = min(step, len(bound) - s)
-        here = (which >= s) & (which < s + m)
-        out += _product(np.bincount(group[here] * m + which[here] - s, minlength=n * m).reshape(n, m), bound[s:s + m])
-    return out
+    starts = np.cumsum(np.fromiter((len(t) + 1 for t in ("", *texts)), np.int64, len(texts) + 1))  # after the mark before each text
+    table = letters()
+    for low in range(1, len(codes) - 1, WINDOW):
+        numbers = table.numbers(codes[low - 1:low + WINDOW + 1]).astype(np.int64)
+        at = np.flatnonzero(numbers[1:-1])
+        if not len(at):
+            continue
+        size = len(table.points)
+        key = (numbers[at] * size + numbers[at + 1]) * size + numbers[at + 2]
+        owner = group[np.searchsorted(starts, at + low, side="right") - 1]
+        found += np.bincount(owner, minlength=n)
+        distinct, which = _distinct(key, size ** 3)
+        step = min(BLOCK, max(256, COUNTS // n))
+        order = np.argsort(which, kind="stable") if len(distinct) > step else slice(None)
+        which, owner = which[order], owner[order]
+        for s in range(0, len(distinct), step):
+            some = distinct[s:s + step]
+            a, b = np.searchsorted(which, (s, s + len(some))) if len(distinct) > step else (0, len(which))
+            counts = np.bincount(owner[a:b] * len(some) + which[a:b] - s, minlength=n * len(some)).reshape(n, len(some))
+            out += _product(counts, table.bound(some, size))
+    return out, found
+
+
+def _distinct(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers below size, in order, and the place of each among them."""
+    if size > TABLE:
+        return np.unique(key, return_inverse=True)
+    seen = np.zeros(size, bool)
+    seen[key] = True
+    distinct = np.flatnonzero(seen)
+    place = np.zeros(size, np.int32)
+    place[distinct] = np.arange(len(distinct), dtype=np.int32)
+    return distinct, place[key]
 
 
 def _product(counts: np.ndarray, bound: np.ndarray) -> np.ndarray:
@@ -117,7 +117,8 @@ def _product(counts: np.ndarray, bound: np.ndarray) -> np.ndarray:
 
 def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
     """The prototype of each non-null lang, from every row whose text is not null: a vector of DIMENSIONS integers. Rows without letters add nothing; no rows, or
-    none with a lang, give no prototypes. To the driver come DIMENSIONS numbers a language."""
+    none with a lang, give no prototypes. Repeated rows count each; extra columns are left out. To the driver come DIMENSIONS numbers (8 KB) for each value of lang, which
+    are thus taken to be thousands at most."""
     base.ship(df.sparkSession)
     source = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
 
@@ -129,8 +130,7 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np
                 names = sorted(set(langs[s:e]))
                 number = {x: i for i, x in enumerate(names)}
                 group = np.array([number[x] for x in langs[s:e]])
-                owner, which, bound = trigrams(texts[s:e].to_pylist())
-                for x, v in zip(names, bundles(group[owner], which, bound, len(names)), strict=True):
+                for x, v in zip(names, profiles(texts[s:e].to_pylist(), group, len(names))[0], strict=True):
                     total[x] = total.get(x, 0) + v
         for x, v in total.items():
             yield pa.RecordBatch.from_pydict({"lang": pa.array([x] * DIMENSIONS), "i": pa.array(range(DIMENSIONS), pa.int32()), "v": pa.array(v.astype(np.int64))})
@@ -144,7 +144,8 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np
 
 def predict(df: DataFrame, prototypes: dict[str, np.ndarray], keep: dict[str, Column], text: str = "text") -> DataFrame:
     """Columns `keep`, lang_pred and score: the language of largest cosine with the whole text (ties to the first name), and that cosine, at least 0. A null text,
-    one without letters, or no prototypes at all, gives UNKNOWN and 0. Rows stay as they are; other columns are left out."""
+    one without letters, or no prototypes at all, gives UNKNOWN and 0. Rows stay as they are, repeated ones too; other columns are left out. Texts of any length are
+    read whole, WINDOW characters after the other."""
     base.ship(df.sparkSession)
     names = sorted(prototypes)
     unit = np.array([prototypes[x] / np.linalg.norm(prototypes[x]) for x in names]).reshape(len(names), DIMENSIONS)
@@ -158,11 +159,10 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], keep: dict[str, Co
                 n = e - s
                 lang, score = [UNKNOWN] * n, np.zeros(n)
                 if len(names):
-                    owner, which, bound = trigrams(texts[s:e].to_pylist())
-                    vectors = bundles(owner, which, bound, n)
+                    vectors, found = profiles(texts[s:e].to_pylist(), np.arange(n), n)
                     norm = np.linalg.norm(vectors, axis=1)
                     cosine = (vectors @ unit.T) / np.where(norm > 0, norm, 1)[:, None]
-                    has = np.bincount(owner, minlength=n) > 0
+                    has = found > 0
                     best = cosine.argmax(axis=1)
                     lang = [names[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)]
                     score = np.where(has, np.clip(cosine[np.arange(n), best], 0, 1), 0)
