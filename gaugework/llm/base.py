@@ -50,9 +50,36 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def plain(df: DataFrame, *names: str) -> DataFrame:
+    """df with the named columns, as far as there are such (of several, the first of that very spelling), and every other one as c0, c1, ... by its place. So no column can
+    clash with one that an operator makes, whatever it is called. df.columns in toDF() give the old names back."""
+    own = {}
+    for name in names:
+        same = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name]
+        if same:
+            own[same[0]] = name
+    return df.toDF(*(own.get(i, f"c{i}") for i in range(len(df.columns))))
+
+
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: extra columns of any name can't clash with those that an operator makes."""
-    return df.select(*(F.col(n) for n in names))
+    return plain(df, *names).select(*names)
+
+
+#: Keys that hold at least one of so many rows are joined by broadcast: there are no more than so many.
+HOT = 4096
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows.join(counted, on), where counted (stored) has one row for a key, with `n`, how many of all `total` rows have it. Keys of very many rows, at most HOT of them, are
+    broadcast, so that none lands in one task; the others are shuffled."""
+    limit = max(total // HOT, 1000)
+    hot = counted.where(F.col("n") > limit)
+    if hot.isEmpty():
+        return rows.join(counted, on)
+    common = rows.join(F.broadcast(hot), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(counted.where(F.col("n") <= limit), on)
+    return common.unionByName(rest)
 
 
 def hex_digest(c: Column) -> Column:
@@ -183,3 +210,8 @@ def where_computed(df: DataFrame, condition: Column) -> DataFrame:
     """df.where(condition) for a condition on costly computed columns. The optimiser would move the filter below the projections that make them and so repeat
     their expressions, inside lambdas once for each element; it moves none below a column that isn't deterministic."""
     return df.withColumn("__held", F.monotonically_increasing_id()).where(condition & (F.col("__held") >= 0)).drop("__held")
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df, whose computed columns are worked out here: later projections can't take in their expressions, which inside a lambda would be once for each element."""
+    return where_computed(df, F.lit(True))

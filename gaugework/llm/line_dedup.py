@@ -1,6 +1,7 @@
-"""Operator 10: line deduplication by winnowing. Runs of GRAM lines are hashed, the minimum of every WINDOW neighbouring runs is a fingerprint, each later place of
-a fingerprint is joined with its earliest one, the match is extended both ways along the lines of both documents, and the later run goes. Any repeated run of
-GRAM + WINDOW - 1 lines holds a fingerprint; but where its earliest place shares fewer lines of the run than another, a line at the ends can stay. A line of ALONE words is compared by itself too, wherever it stands. Column expressions only."""
+"""Operator 10: line deduplication by winnowing. Runs of GRAM lines are hashed, the minimum of every WINDOW neighbouring runs is a fingerprint, and each later place of
+a fingerprint is joined with its earliest one. Matches are extended both ways by joining, for each place, the runs that hold up to WINDOW - 1 lines more before or after it
+with the earliest place of the same lines; what repeats goes. Any repeated run of GRAM + WINDOW - 1 lines holds a fingerprint no further than that from either of its
+ends, so it goes whole, wherever its lines stood first. A line of ALONE words is compared by itself too. Column expressions only; rows hold places, never lines or texts."""
 
 from __future__ import annotations
 
@@ -14,6 +15,8 @@ GRAM, WINDOW = 2, 2
 #: Fewest words of a line that goes by itself where it repeats; of scripts without blanks, two letters (Han and kana) or four (Thai, Lao, Tibetan, Burmese, Khmer) are a word.
 ALONE = 8
 _BLANK, _TWO, _FOUR = r"\x20\x09-\x0D", r"぀-ヿ㐀-鿿豈-﫿ｦ-ﾝ\x{20000}-\x{3ffff}", r"฀-႟ក-៿"
+#: Documents that lose lines are broadcast to the texts up to so many of them, and of their runs (16 bytes); beyond, texts are shuffled to them.
+BROADCAST_ROWS, BROADCAST_RUNS = 200_000, 2_000_000
 _ALONE = rf"^[{_BLANK}]*+(?:[^{_BLANK}]++[{_BLANK}]++){{{ALONE - 1}}}[^{_BLANK}]|^(?:[^{_TWO}]*+[{_TWO}]){{{2 * ALONE}}}|^(?:[^{_FOUR}]*+[{_FOUR}]){{{4 * ALONE}}}"
 
 
@@ -21,58 +24,61 @@ def line_array(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def worded(text: Column) -> Column:
+    """The lines with a word: x (trimmed), i (their number in the text, from 0)."""
+    lines = F.transform(line_array(text), lambda x, i: F.struct(F.trim(x, F.lit(" \t\r\x0b\x0c")).alias("x"), i.alias("i")))
+    return F.filter(lines, lambda x: x["x"] != "")
+
+
 def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, version (a hash of the text, so rows that repeat a doc_id with another text stay apart), h (hashes of the lines with a word, trimmed), at (their numbers
-    in the text, from 0) and alone (the places in h of lines of ALONE words). Rows with a null doc_id or text take no part; exact repeats of a row count once."""
-    line = lambda x, i: F.struct(F.trim(x, F.lit(" \t\r\x0b\x0c")).alias("x"), i.alias("i"), x.rlike(_ALONE).alias("alone"))
-    lines = F.filter(F.transform(line_array(F.col("text")), line), lambda x: x["x"] != "")
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), lines.alias("l"))
-    rows = base.where_computed(rows, (F.size("l") >= GRAM) | F.exists("l", lambda x: x["alone"]))
-    alone = F.filter(F.transform("l", lambda x, j: F.when(x["alone"], j)), lambda j: j.isNotNull())
-    return rows.select("doc_id", "version", F.transform("l", lambda x: F.xxhash64(x["x"])).alias("h"), F.transform("l", lambda x: x["i"]).alias("at"), alone.alias("alone"))
+    """doc_id, version (a hash of the text, so rows that repeat a doc_id with another text stay apart), h (hashes of the lines with a word, trimmed) and alone (the places in
+    h of lines of ALONE words). Rows with a null doc_id or text take no part."""
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), worded(F.col("text")).alias("l"))
+    rows = base.held(rows)
+    alone = F.filter(F.transform("l", lambda x, j: F.when(x["x"].rlike(_ALONE), j)), lambda j: j.isNotNull())
+    return rows.select("doc_id", "version", F.transform("l", lambda x: F.xxhash64(x["x"])).alias("h"), alone.alias("alone"))
 
 
 def fingerprints(lines: DataFrame) -> DataFrame:
-    """doc_id, version, g (hash of GRAM lines), p (number of the first of them among the lines with a word) and a null `line`: of every WINDOW neighbours the least, the
-    last of equal ones. Lines of ALONE words have rows of their own, with `line`, their number in the text."""
+    """doc_id, version, g (hash of GRAM lines), p (number of the first of them among the lines with a word), lines (how many) and wider: the runs that hold them and up to
+    WINDOW - 1 lines more on one side, each with g, p and lines. Of every WINDOW neighbours the least is a fingerprint, the last of equal ones. Lines of ALONE words have
+    rows of their own. Exact repeats of a row give the same places again."""
     h = F.col("h")
-    grams = F.transform(F.slice(h, F.lit(1), F.size(h) - (GRAM - 1)), lambda x, i: F.xxhash64(x, *(F.get(h, i + j) for j in range(1, GRAM))))
-    rows = lines.select("doc_id", "version", "h", "at", "alone", grams.alias("g"))
+    run = lambda p, n: F.xxhash64(*(F.get(h, p + j) for j in range(n)))
+    grams = F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - (GRAM - 1), F.lit(0))), lambda x, i: run(i, GRAM))
+    rows = base.held(base.held(lines).select("doc_id", "version", "h", "alone", grams.alias("g")))
     g = F.col("g")
     starts = F.sequence(F.lit(0), F.greatest(F.size(g) - WINDOW, F.lit(0)))
     window = lambda s: F.transform(F.slice(g, s + 1, F.lit(WINDOW)), lambda x, j: F.struct(x.alias("g"), (-(s + j)).alias("p")))
     least = F.filter(F.transform(starts, lambda s: F.array_min(window(s))), lambda f: f.isNotNull())
-    runs = F.transform(F.array_distinct(least), lambda f: F.struct(f["g"].alias("g"), (-f["p"]).alias("p"), F.lit(None).cast("int").alias("line")))
-    alone = F.transform("alone", lambda j: F.struct(F.xxhash64(F.get(h, j), F.lit(1)).alias("g"), j.alias("p"), F.get("at", j).alias("line")))
-    return rows.select("doc_id", "version", F.explode(F.concat(runs, alone)).alias("f")).select("doc_id", "version", "f.g", "f.p", "f.line")
+    rows = base.held(rows.select("doc_id", "version", "h", "alone", least.alias("least")))
+    chosen = F.filter("least", lambda f, i: (i == 0) | (f["p"] != F.get("least", i - 1)["p"]))  # neighbouring windows may have the same one
+    place = lambda g, p, n: F.struct(g.alias("g"), p.alias("p"), F.lit(n).alias("lines"))
+    more = lambda p: [F.when(q >= 0, F.when(q + GRAM + j <= F.size(h), place(run(q, GRAM + j), q, GRAM + j))) for j in range(1, WINDOW) for q in (p - j, p)]
+    wider = lambda p: F.filter(F.array(*more(p)), lambda x: x.isNotNull())
+    none = F.array().cast("array<struct<g: bigint, p: int, lines: int>>")
+    runs = F.transform(chosen, lambda f: F.struct(f["g"].alias("g"), (-f["p"]).alias("p"), F.lit(GRAM).alias("lines"), wider(-f["p"]).alias("wider")))
+    alone = F.transform("alone", lambda j: F.struct(F.xxhash64(F.get(h, j), F.lit(1)).alias("g"), j.alias("p"), F.lit(1).alias("lines"), none.alias("wider")))
+    return rows.select("doc_id", "version", F.explode(F.concat(runs, alone)).alias("f")).select("doc_id", "version", "f.*")
+
+
+def repeated(places: DataFrame) -> DataFrame:
+    """The places (doc_id, version, g, p and more; stored) whose g occurs more than once, with `late`: whether there is an earlier one, at a smaller doc_id or earlier in the
+    document. The earliest place is a minimum, combined before the shuffle: a g that a third of all rows hold costs a row a task."""
+    first = places.groupBy("g").agg(F.min(F.struct("doc_id", "p", "version")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    joined = base.join_counted(places, base.written(first), ["g"], places.count())
+    same = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("version") == F.col("first.version"))
+    return joined.withColumn("late", (F.col("doc_id") > F.col("first.doc_id")) | (same & (F.col("p") > F.col("first.p")))).drop("first", "n")
 
 
 def later_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, version, runs: (start, end) of the line numbers, end exclusive, of runs and of lines of ALONE words that repeat an earlier place: one at a smaller doc_id, or
-    earlier in the document. In order; those that overlap or meet are joined."""
-    lines = base.written(numbered(docs).distinct())
-    prints = fingerprints(lines)
-    place = F.struct("doc_id", "p", "version")
-    # the earliest place is a minimum, combined before the shuffle: a fingerprint that a third of all rows hold costs a row a task
-    first = prints.groupBy("g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    matches = prints.join(first, "g").where((F.col("doc_id") > F.col("first.doc_id")) | ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("version") == F.col("first.version")) & (F.col("p") > F.col("first.p"))))
-    matches = base.written(matches.select("doc_id", "version", "p", "line", "first"))
-    diagonals = matches.where("line IS NULL").select("doc_id", "version", F.col("first.doc_id").alias("a_doc"), F.col("first.version").alias("a_version"), (F.col("first.p") - F.col("p")).alias("shift")).distinct()
-    early = lines.select(F.col("doc_id").alias("a_doc"), F.col("version").alias("a_version"), F.col("h").alias("a"))
-    pairs = diagonals.join(early, ["a_doc", "a_version"]).join(lines, ["doc_id", "version"])
-    # lines of the two documents side by side along the diagonal; a run of GRAM equal ones or more goes
-    low = F.greatest(F.lit(0), -F.col("shift"))
-    high = F.least(F.size("h"), F.size("a") - F.col("shift"))
-    n = F.greatest(high - low, F.lit(0))
-    unequal = F.zip_with(F.slice("h", low + 1, n), F.slice("a", low + F.col("shift") + 1, n), lambda x, y: x != y)
-    breaks = F.filter(F.transform(unequal, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
-    rows = pairs.select("doc_id", "version", "at", low.alias("low"), n.alias("n"), breaks.alias("breaks"))
-    opens = F.concat(F.array(F.lit(0)), F.transform("breaks", lambda b: b + 1))
-    closes = F.concat("breaks", F.array(F.col("n")))
-    runs = F.filter(F.zip_with(opens, closes, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda r: r["b"] - r["a"] >= GRAM)
-    told = F.transform(runs, lambda r: F.struct(F.get("at", F.col("low") + r["a"]).alias("start"), (F.get("at", F.col("low") + r["b"] - 1) + 1).alias("end")))
-    alone = matches.where("line IS NOT NULL").select("doc_id", "version", F.col("line").alias("start"), (F.col("line") + 1).alias("end"))
-    found = rows.select("doc_id", "version", F.explode(told).alias("r")).select("doc_id", "version", "r.start", "r.end").union(alone)
+    """doc_id, version, runs: (start, end) in numbers of lines with a word, end exclusive, of what repeats an earlier place. In order; runs that overlap or meet are joined."""
+    prints = base.written(fingerprints(numbered(docs)))
+    matches = base.written(repeated(prints))
+    wider = matches.where(F.size("wider") > 0).select("doc_id", "version", F.explode("wider").alias("f")).select("doc_id", "version", "f.*")
+    extended = repeated(base.written(wider))
+    span = ["doc_id", "version", F.col("p").alias("start"), (F.col("p") + F.col("lines")).alias("end")]
+    found = matches.where("late").select(*span).unionByName(extended.where("late").select(*span))
     text = Window.partitionBy("doc_id", "version").orderBy("start", "end")
     so_far = F.max("end").over(text.rowsBetween(Window.unboundedPreceding, -1))
     opened = found.withColumn("opens", F.coalesce(F.col("start") > so_far, F.lit(True)).cast("long"))
@@ -81,38 +87,46 @@ def later_runs(docs: DataFrame) -> DataFrame:
     return joined.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list("r")).alias("runs"))
 
 
-def without_runs(docs: DataFrame) -> DataFrame:
-    """All rows and columns of docs, __runs (null where nothing goes) and __text: text without the lines of its runs."""
-    runs = later_runs(docs.select("doc_id", "text")).withColumnsRenamed({"doc_id": "__doc", "version": "__version", "runs": "__runs"})
-    joined = docs.join(runs, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__version")), "left")
-    joined = joined.withColumn("__lines", F.when(F.col("__runs").isNotNull(), line_array(F.col("text"))))
+def without_runs(docs: DataFrame, how: str) -> DataFrame:
+    """The rows and columns of docs (whose names are plain) that lose lines (how: inner) or all (left), with removed (runs as line numbers of the text; null where nothing
+    goes) and remains: text without them."""
+    runs = base.written(later_runs(docs.select("doc_id", "text")).withColumnsRenamed({"doc_id": "run_doc", "version": "run_version"}))
+    size = runs.agg(F.count("*").alias("n"), F.sum(F.size("runs")).alias("runs")).first()
+    few = size["n"] <= BROADCAST_ROWS and (size["runs"] or 0) <= BROADCAST_RUNS
+    joined = docs.join(F.broadcast(runs) if few else runs, (F.col("doc_id") == F.col("run_doc")) & (F.xxhash64("text") == F.col("run_version")), how)
+    joined = joined.withColumn("at", F.when(F.col("runs").isNotNull(), F.transform(worded(F.col("text")), lambda x: x["i"])))
+    joined = base.held(joined)
+    told = F.transform("runs", lambda r: F.struct(F.get("at", r["start"]).alias("start"), (F.get("at", r["end"] - 1) + 1).alias("end")))
+    joined = base.held(joined.withColumn("removed", told).withColumn("lines", F.when(F.col("runs").isNotNull(), line_array(F.col("text")))))
     # the lines before each run, and after the last
-    ends = F.concat(F.array(F.lit(0)), F.transform("__runs", lambda r: r["end"]))
-    starts = F.concat(F.transform("__runs", lambda r: r["start"]), F.array(F.size("__lines")))
-    kept = F.flatten(F.zip_with(ends, starts, lambda a, b: F.slice("__lines", a + 1, b - a)))
-    return joined.withColumn("__text", F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("__lines")
+    ends = F.concat(F.array(F.lit(0)), F.transform("removed", lambda r: r["end"]))
+    starts = F.concat(F.transform("removed", lambda r: r["start"]), F.array(F.size("lines")))
+    kept = F.flatten(F.zip_with(ends, starts, lambda a, b: F.slice("lines", a + 1, b - a)))
+    return joined.withColumn("remains", F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, removed (array of start and end of line numbers from 0, end exclusive, in order) and text (what remains) of the documents that lose lines.
 
-    Lines are compared without the blanks at their ends; lines without a word are neither compared nor break a run, and go only inside one. Documents of fewer than GRAM such
-    lines lose only lines of ALONE words; null and empty texts and empty tables lose nothing. The earliest place is by doc_id, then by line; an exact repeat of a row, doc_id included, counts as the same place.
-    Texts are read whole; extra columns are left out."""
-    docs = base.own_columns(docs, "doc_id", "text")
-    return without_runs(docs).where("__runs IS NOT NULL").select("doc_id", F.col("__runs").alias("removed"), F.col("__text").alias("text"))
+    Lines are compared without the blanks at their ends; lines without a word are neither compared nor break a run, and go only between lines that go. Documents of fewer
+    than GRAM such lines lose only lines of ALONE words; null and empty texts and empty tables lose nothing. The earliest place is by doc_id, then by line; an exact repeat
+    of a row, doc_id included, counts as the same place. Texts are read whole; extra columns are left out."""
+    rows = without_runs(base.own_columns(docs, "doc_id", "text"), "inner")
+    return rows.select("doc_id", "removed", F.col("remains").alias("text"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, without later repeated runs of lines; n_chars (where there is one) is recounted for texts that change. Documents of which no
-    word remains go: earlier documents hold all their lines."""
-    rows = without_runs(docs)
-    changed = F.col("__runs").isNotNull()
-    rows = base.where_computed(rows, ~changed | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
-    new = {"text": F.col("__text")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("__text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return rows.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+    """The rows of docs, with all their columns, whatever they are called, without later repeated runs of lines; n_chars (where there is one) is recounted for texts that
+    change. Documents of which no word remains go: earlier documents hold all their lines. Nulls, ties, repeated rows and empty tables are as for deduplicated(); rows with
+    a null doc_id or text stay as they are."""
+    own = base.plain(docs, "doc_id", "text", "n_chars")
+    rows = without_runs(own, "left")
+    changed = F.col("runs").isNotNull()
+    rows = base.where_computed(rows, ~changed | F.col("remains").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col("remains")}
+    if "n_chars" in own.columns:
+        new["n_chars"] = F.when(changed, F.length("remains")).otherwise(F.col("n_chars")).cast(own.schema["n_chars"].dataType)
+    return rows.select(*(new.get(c, F.col(c)).alias(c) for c in own.columns)).toDF(*docs.columns)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

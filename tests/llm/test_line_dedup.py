@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -20,39 +21,50 @@ def gram(spark, pairs):
     return {(r[0], r[1]): r[2] for r in df.select("a", "b", F.xxhash64("a", "b")).collect()} if pairs else {}
 
 
+def worded(text):
+    return [(n, y) for n, x in enumerate(text.split("\n")) if (y := x.strip(" \t\r\x0b\x0c"))]
+
+
+def without(text, cut):
+    """The text without the word lines of the given numbers, and without the lines between two that go and stand together."""
+    at = [n for n, _ in worded(text)]
+    gone = {at[q] for q in cut} | {n for q in cut if q + 1 in cut for n in range(at[q], at[q + 1])}
+    return "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone)
+
+
 def brute(spark, rows):
-    """doc_id, text of the documents that lose lines (unique doc_ids)."""
+    """doc_id, text of the documents that lose lines (unique doc_ids), by the definition: fingerprints, and what is a line wider, wherever they stand first."""
     h = hashes(spark, rows)
-    docs = {}
-    for i, t in rows:
-        if i is not None and t is not None:
-            kept = [(n, h[x.strip(" \t\r\x0b\x0c")]) for n, x in enumerate(t.split("\n")) if x.strip(" \t\r\x0b\x0c")]
-            if len(kept) >= 2:
-                docs[i] = kept
-    g = gram(spark, {(a[1], b[1]) for d in docs.values() for a, b in zip(d, d[1:], strict=False)})
+    docs = {i: [h[x] for _, x in worded(t)] for i, t in rows if i is not None and t is not None}
+    g = gram(spark, {(a, b) for d in docs.values() for a, b in zip(d, d[1:], strict=False)})
     places = {}
     for i, d in docs.items():
-        grams = [g[a[1], b[1]] for a, b in zip(d, d[1:], strict=False)]
+        grams = [g[a, b] for a, b in zip(d, d[1:], strict=False)]
         for s in range(max(len(grams) - 1, 1)):
-            window = [(x, -(s + j)) for j, x in enumerate(grams[s:s + 2])]
-            x, p = min(window)
-            places.setdefault(x, set()).add((i, -p))
+            for p in [-min((x, -(s + j)) for j, x in enumerate(grams[s:s + 2]))[1]] if grams else []:
+                for a, n in ((p, 2), (p - 1, 3), (p, 3)):
+                    if a >= 0 and a + n <= len(d):
+                        places.setdefault(tuple(d[a:a + n]), set()).add((i, a))
     cut = {}
-    for found in places.values():
-        first = min(found)
-        for i, p in found - {first}:
-            a, b, shift = docs[first[0]], docs[i], first[1] - p
-            equal = [0 <= q + shift < len(a) and a[q + shift][1] == b[q][1] for q in range(len(b))]
-            q = 0
-            while q < len(b):
-                e = q
-                while e < len(b) and equal[e]:
-                    e += 1
-                if e - q >= 2:
-                    cut.setdefault(i, set()).update(range(b[q][0], b[e - 1][0] + 1))
-                q = max(e, q + 1)
+    for run_, found in places.items():
+        for i, p in found - {min(found)}:
+            cut.setdefault(i, set()).update(range(p, p + len(run_)))
     texts = dict(rows)
-    return sorted((i, "\n".join(x for n, x in enumerate(texts[i].split("\n")) if n not in c)) for i, c in cut.items())
+    return sorted((i, without(texts[i], c)) for i, c in cut.items())
+
+
+def bounds(rows):
+    """For each doc_id, the word lines that must go (in runs of three that stand earlier too) and those that may (in runs of two), by comparing all runs."""
+    docs = {i: [x for _, x in worded(t)] for i, t in sorted(rows)}
+    out = {i: (set(), set()) for i in docs}
+    for n, which in ((3, 0), (2, 1)):
+        seen = set()
+        for i, d in docs.items():
+            for p in range(len(d) - n + 1):
+                if tuple(d[p:p + n]) in seen:
+                    out[i][which].update(range(p, p + n))
+                seen.add(tuple(d[p:p + n]))
+    return out
 
 
 def corpus(seed):
@@ -74,11 +86,21 @@ def run(spark, rows):
     return sorted((r["doc_id"], r["text"]) for r in line_dedup.deduplicated(df).collect())
 
 
+def run_spans(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return [(r["doc_id"], [tuple(x) for x in r["removed"]]) for r in line_dedup.deduplicated(df).collect()]
+
+
 def test_against_the_definition(spark):
     for seed in (1, 2, 3):
         rows = corpus(seed)
         got = run(spark, rows)
         assert got == brute(spark, rows) and got
+        texts, cut = dict(rows), dict(run_spans(spark, rows))
+        for i, (must, may) in bounds(rows).items():
+            at = [n for n, _ in worded(texts[i])]
+            gone = {q for q, n in enumerate(at) if any(s <= n < e for s, e in cut.get(i, []))}
+            assert must <= gone <= may, i
 
 
 def test_guarantee(spark):
@@ -99,6 +121,33 @@ def test_within_a_document_and_edges(spark):
     assert run(spark, [(1, run_of), (2, run_of), (2, run_of)]) == [(2, ""), (2, "")]
 
 
+def test_edges_stand_first_in_other_documents(spark):
+    """A fingerprint's earliest place may share less of a run than a later one."""
+    rows = []
+    for seed in range(12):
+        x, y, z, w = (f"{c} {seed}" for c in "xyzw")
+        rows += [(3 * seed, f"a {seed}\n{x}\n{y}"), (3 * seed + 1, f"b {seed}\n{w}\n{x}\n{y}\n{z}"), (3 * seed + 2, f"{w}\n{x}\n{y}\n{z}\nc {seed}")]
+    got = dict(run(spark, rows))
+    assert [got[3 * seed + 2] for seed in range(12)] == [f"c {seed}" for seed in range(12)]
+
+
+def test_long_repeating_texts(spark):
+    """Work is linear in the lines of a document that repeats itself."""
+    same = "\n".join(["again and again"] * 200_000)
+    began = time.perf_counter()
+    assert run(spark, [(1, same), (2, "x\n" + "\n".join(["a", "b", "c"] * 30_000))]) == [(1, "again and again"), (2, "x\na\nb\nc")]
+    assert time.perf_counter() - began < 60
+
+
+def test_hot_lines(spark, monkeypatch):
+    """Keys of very many rows are broadcast, whatever their number."""
+    rows = [(i, f"own {i}\nx1\nx2\nx3\nown too {i}\ny{i // 2}\nz{i // 2}\nw{i // 2}") for i in range(3000)]
+    got = dict(run(spark, rows))
+    assert len(got) == 2999 and all(got[i] == f"own {i}\nown too {i}" + ("" if i % 2 else f"\ny{i // 2}\nz{i // 2}\nw{i // 2}") for i in got)
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    assert dict(run(spark, rows)) == got
+
+
 def test_long_copy(spark):
     text = "\n".join(f"line {i}" for i in range(20_000))
     assert run(spark, [(1, text), (2, text + "\nmore")]) == [(2, "more")]
@@ -112,6 +161,15 @@ def test_keep_first(spark):
     assert sorted(map(tuple, got.collect()), key=lambda r: r[2]) == [rows[0], ("a", 1, 3), rows[3], rows[4]]
 
 
+def test_columns_of_any_name(spark):
+    names = ["a.b", "__held", "__runs", "runs", "Text", "removed", "c0", "x`y", "at", "lines"]
+    schema = ", ".join(f"`{n.replace('`', '``')}` int" for n in names)
+    df = spark.createDataFrame([("x1\nx2\nx3", 1, *range(10)), ("a\nx1\nx2\nx3", 2, *range(10)), (None, None, *range(10))], f"text string, doc_id long, {schema}")
+    got = line_dedup.keep_first(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([("x1\nx2\nx3", 1, *range(10)), ("a", 2, *range(10)), (None, None, *range(10))], key=repr)
+
+
 def test_single_long_lines(spark):
     """A repeated line of eight words goes by itself, in documents of one line too; one of seven stays."""
     long, short = "one two three four five six seven eight", "one two three four five six seven"
