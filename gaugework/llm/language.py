@@ -17,7 +17,7 @@ UNKNOWN = "und"
 #: Trigram tables up to this size are counted in place; larger alphabets are sorted.
 TABLE = 1 << 22
 #: Characters that are looked at together, and trigrams and counts (texts by trigrams) of one product: what bounds a task's memory, whatever the texts hold.
-WINDOW, BLOCK, COUNTS = 1 << 20, 4096, 1 << 22
+WINDOW, BLOCK, COUNTS = 1 << 21, 8192, 1 << 22
 
 
 class Letters:
@@ -85,16 +85,19 @@ def profiles(texts: list[str], group: np.ndarray, n: int) -> tuple[np.ndarray, n
         size = len(table.points)
         key = (numbers[at] * size + numbers[at + 1]) * size + numbers[at + 2]
         owner = group[np.searchsorted(starts, at + low, side="right") - 1]
-        found += np.bincount(owner, minlength=n)
+        letters_of = np.bincount(owner, minlength=n)
+        found += letters_of
+        here = np.flatnonzero(letters_of)  # the groups of this window
+        owner = (np.cumsum(letters_of > 0) - 1)[owner]
         distinct, which = _distinct(key, size ** 3)
-        step = min(BLOCK, max(256, COUNTS // n))
+        step = min(BLOCK, max(256, COUNTS // len(here)))
         order = np.argsort(which, kind="stable") if len(distinct) > step else slice(None)
         which, owner = which[order], owner[order]
         for s in range(0, len(distinct), step):
             some = distinct[s:s + step]
             a, b = np.searchsorted(which, (s, s + len(some))) if len(distinct) > step else (0, len(which))
-            counts = np.bincount(owner[a:b] * len(some) + which[a:b] - s, minlength=n * len(some)).reshape(n, len(some))
-            out += _product(counts, table.bound(some, size))
+            counts = np.bincount(owner[a:b] * len(some) + which[a:b] - s, minlength=len(here) * len(some)).reshape(len(here), len(some))
+            out[here] += _product(counts, table.bound(some, size))
     return out, found
 
 
