@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gaugework.schema import NUMBER, SEPARATOR
+from gaugework.schema import LINE_FORM, NUMBER, SEPARATOR
 
 
 def without_cr(line: Column) -> Column:
@@ -19,22 +19,28 @@ def station_of(line: Column) -> Column:
 
 
 def number_of(line: Column) -> Column:
-    """What stands after the first separator; the whole line, if it has none."""
-    return F.substring(line, F.instr(line, SEPARATOR) + 1, F.length(line))
+    """The number of a measurement line; empty for any other line. Station, separator and number are told by one expression."""
+    return F.regexp_extract(line, LINE_FORM, 1)
 
 
 def is_blank(line: Column) -> Column:
-    return line == ""
+    """Nothing, or a carriage return alone."""
+    return line.isin("", "\r")
 
 
 def is_measurement(line: Column) -> Column:
     """A station of one byte or more, a separator, and a number of the one valid form."""
-    return (F.instr(line, SEPARATOR) > 1) & number_of(line).rlike(NUMBER)
+    return line.rlike(LINE_FORM)
 
 
 def tenths_of(number: Column) -> Column:
-    """The number in tenths, exactly, and null for any other text: without its point it is an integer."""
-    return F.when(number.rlike(NUMBER), F.replace(number, F.lit("."), F.lit("")).cast("int"))
+    """The number in tenths, exactly, and null for any other text."""
+    return F.when(number.rlike(rf"\A{NUMBER}\z"), tenths_of_valid(number))
+
+
+def tenths_of_valid(number: Column) -> Column:
+    """The tenths of what number_of() gives: without its point a number is an integer."""
+    return F.replace(number, F.lit("."), F.lit("")).cast("int")
 
 
 def floor_div(a: Column, b: Column) -> Column:

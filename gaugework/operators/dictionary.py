@@ -5,23 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugework.operators.positions import number_rows
 from gaugework.operators.stats import totals_by
+from gaugework.storage import written
 
 #: A dictionary is broadcast up to this many stations; a larger one is joined by a shuffle.
 BROADCAST_STATIONS = 1_000_000
 
 
 def build(measurements: DataFrame, position: str | None = None) -> DataFrame:
-    """id, station. position: a column that orders rows; ids follow the first position of a station (ties: its name). Without one, ids follow the names.
+    """id, station, stored. position: a column that orders rows; ids follow the first position of a station (ties: its name). Without one, ids follow the names.
 
-    The numbering window runs over the distinct stations, not over the rows."""
+    The distinct stations are found once; up to BROADCAST_STATIONS of them are numbered by one window, more by ranges."""
     order = F.min(position) if position else F.lit(0)
-    first = measurements.groupBy("station").agg(order.alias("first"))
-    return first.select((F.row_number().over(Window.orderBy("first", "station")) - 1).cast("int").alias("id"), "station")
+    first = written(measurements.groupBy("station").agg(order.alias("first")))
+    if _few(first):
+        return written(first.select((F.row_number().over(Window.orderBy("first", "station")) - 1).cast("int").alias("id"), "station"))
+    return written(number_rows(first, "first", "station", out="id").select(F.col("id").cast("int"), "station"))
+
+
+def _few(stored: DataFrame) -> bool:
+    return stored.count() <= BROADCAST_STATIONS
 
 
 def _side(dictionary: DataFrame) -> DataFrame:
-    return F.broadcast(dictionary) if dictionary.limit(BROADCAST_STATIONS + 1).count() <= BROADCAST_STATIONS else dictionary
+    """The dictionary, broadcast if it is small; its size is checked on the stored table, from the files' footers."""
+    return F.broadcast(dictionary) if _few(dictionary) else dictionary
 
 
 def encode(measurements: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -13,13 +13,13 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugework import schema
 from gaugework.functions import measurement as m
-from gaugework.sources.text import parse
+from gaugework.operators import blocks, dictionary
+from gaugework.sources.text import numbered_lines, parse
 
 _META = struct.Struct("<QIIQQ")
 _RECORD = np.dtype([("id", "<u1"), ("tenths", "<i2")])
@@ -60,49 +60,48 @@ def _names(measurements: DataFrame, most: int) -> list[str]:
 # ---- blocks ----
 
 
-def write_blocks(lines: DataFrame, base: str, block_bytes: int = schema.BLOCK_BYTES) -> int:
-    """Writes a block file and its index from a frame with a column `value`; returns the number of blocks.
+def write_blocks(lines: DataFrame, base: str, block_bytes: int = schema.BLOCK_BYTES, position: str = "position") -> int:
+    """Writes a block file and its index from a frame with `value` and a position that orders the lines; returns the number of blocks.
 
-    Each partition is cut into blocks that end with the line that reaches block_bytes. Blocks come to the driver one partition at a time and go straight to the file."""
+    Blocks are cut as blocks.cut() says, and packed by all tasks; they come to the driver one partition at a time, in their order, and go straight to the file."""
     names = _names(parse(lines), schema.INDEX_STATIONS)
     number = {n.encode(): i for i, n in enumerate(names)}
 
-    def cut(batches):
+    def pack(batches):
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=1).compress
-        part, seq, text = TaskContext.get().partitionId(), 0, []
+        compress = zstandard.ZstdCompressor(level=1).compress
+        now, text = None, []
 
         def block():
             raw = b"".join(text)
             bits = 0
-            for line in raw.split(b"\n"):
-                i = number.get(line.partition(b";")[0])
+            for station in {line.partition(b";")[0] for line in text}:
+                i = number.get(station)
                 bits |= 0 if i is None else 1 << i
-            return [part, seq, pack(raw), len(raw), bits.to_bytes(16, "little")]
+            row = zip((now, compress(raw), len(raw), bits.to_bytes(16, "little")), (pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in row], ["block_id", "payload", "size", "bits"])
 
-        size = 0
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
-        fields = ["part", "seq", "payload", "size", "bits"]
         for batch in batches:
-            for line in batch.column("value"):
-                raw = line.as_buffer().to_pybytes() + b"\n"
-                text.append(raw)
-                size += len(raw)
-                if size >= block_bytes:
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(block(), kinds, strict=True)], fields)
-                    seq, text, size = seq + 1, [], 0
+            for block_id, line in zip(batch.column("block_id").to_pylist(), batch.column("value"), strict=True):
+                if block_id != now and text:
+                    yield block()
+                    text = []
+                now = block_id
+                text.append(line.as_buffer().to_pybytes() + b"\n")
         if text:
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(block(), kinds, strict=True)], fields)
+            yield block()
 
-    rows = lines.select("value").mapInArrow(cut, "part long, seq long, payload binary, size long, bits binary")
-    metas, offset, total = [], 24, 0
+    dealt = blocks.cut(lines.select("value", position), position, block_bytes)
+    ranged = dealt.select("block_id", position, "value").repartitionByRange("block_id").sortWithinPartitions("block_id", position)
+    rows = ranged.mapInArrow(pack, "block_id long, payload binary, size long, bits binary")
+    metas, offset, total = [], blocks.HEADER, 0
     with open(base + schema.BLOCKS_EXTENSION, "wb") as f:
-        f.write(schema.BLOCKS_MAGIC + bytes(16))
+        f.write(schema.BLOCKS_MAGIC + bytes(blocks.HEADER - len(schema.BLOCKS_MAGIC)))
         for r in rows.toLocalIterator():
             f.write(struct.pack("<II", len(r["payload"]), r["size"]) + r["payload"])
             metas.append(_META.pack(offset, len(r["payload"]), r["size"], *struct.unpack("<QQ", r["bits"])))
-            offset += 8 + len(r["payload"])
+            offset += blocks.PREFIX + len(r["payload"])
             total += r["size"]
         f.seek(8)
         f.write(struct.pack("<QQ", len(metas), total))
@@ -115,10 +114,10 @@ def read_index(spark: SparkSession, base: str) -> tuple[dict[int, str], DataFram
     data = Path(base_name(base, schema.BLOCKS_EXTENSION) + schema.INDEX_EXTENSION).read_bytes()
     if data[:8] != schema.INDEX_MAGIC:
         raise ValueError("not an index file")
-    n, blocks = struct.unpack_from("<IQ", data, 8)
+    n, n_blocks = struct.unpack_from("<IQ", data, 8)
     names, at = _read_dictionary(data, n, 20)
     rows = []
-    for i in range(blocks):
+    for i in range(n_blocks):
         offset, comp, plain, low, high = _META.unpack_from(data, at + i * _META.size)
         bits = low | high << 64
         rows.append((i, offset, comp, plain, [s for s in names if bits >> s & 1]))
@@ -156,10 +155,9 @@ def read_blocks(spark: SparkSession, base: str, station: str | None = None) -> D
     return rows if station is None else rows.where(F.col("station") == station)
 
 
-def write_text_blocks(spark: SparkSession, path: str, base: str | None = None) -> int:
-    from gaugework.sources.text import read_lines
-
-    return write_blocks(read_lines(spark, path).select(m.without_cr(F.col("value")).alias("value")), base or base_name(path, schema.BLOCKS_EXTENSION))
+def write_text_blocks(spark: SparkSession, path: str, base: str | None = None, block_bytes: int = schema.BLOCK_BYTES) -> int:
+    """Writes a block file and its index from measurement text: a file, or a directory of them in the order of their names."""
+    return write_blocks(numbered_lines(spark, path).select(m.without_cr(F.col("value")).alias("value"), "position"), base or base_name(path, schema.BLOCKS_EXTENSION), block_bytes)
 
 
 # ---- encoded rows ----
@@ -168,20 +166,19 @@ def write_text_blocks(spark: SparkSession, path: str, base: str | None = None) -
 def write_encoded(measurements: DataFrame, base: str) -> int:
     """Writes an encoded file; returns the number of rows. Rows come to the driver one partition at a time, three bytes each, and go straight to the file."""
     names = _names(measurements, schema.ENCODED_STATIONS)
-    number = {n: i for i, n in enumerate(names)}
+    ids = measurements.sparkSession.createDataFrame(list(enumerate(names)), "id int, station string")  # 256 rows at most
 
     def pack(batches):
         for batch in batches:
             out = np.empty(batch.num_rows, _RECORD)
-            out["id"] = [number[s] for s in batch.column("station").to_pylist()]
-            out["tenths"] = batch.column("tenths").to_numpy()
+            out["id"], out["tenths"] = batch.column("station_id").to_numpy(), batch.column("tenths").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["rows"])
 
     told = _dictionary(names)
     total = 0
     with open(base + schema.ENCODED_EXTENSION, "wb") as f:
         f.write(bytes(_HEADER) + told)
-        for r in measurements.select("station", "tenths").mapInArrow(pack, "rows binary").toLocalIterator():
+        for r in dictionary.encode(measurements, ids).mapInArrow(pack, "rows binary").toLocalIterator():
             f.write(r["rows"])
             total += len(r["rows"]) // _RECORD.itemsize
         f.seek(0)

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset (tests, local mode)."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only in local mode, where that is unset (tests): elsewhere no executor would see it."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not sc.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not getattr(sc, "_gaugework_folder", None):
         sc._gaugework_folder = tempfile.mkdtemp(prefix="gaugework-")
         atexit.register(shutil.rmtree, sc._gaugework_folder, True)
@@ -29,18 +31,27 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gaugework-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _drop_at_end(spark, path)
+    drop_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _drop_at_end(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in any store that Spark writes to; none is no error."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
-    def drop() -> None:
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a frame that written() gave and that nothing reads any more, before the session ends."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        drop(df.sparkSession, folder)
+
+
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    def last() -> None:
         try:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
+            drop(spark, path)
         except Exception:  # noqa: BLE001  the JVM has gone first: the cluster's own clean-up of that folder remains
             pass
 
-    atexit.register(drop)
+    atexit.register(last)

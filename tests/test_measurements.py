@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import random
+import struct
 from fractions import Fraction
 from math import floor
 
+import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from gaugework import catalog
 from gaugework.functions import measurement as m
 from gaugework.operators import blocks, dictionary, render, stats
 from gaugework.operators.positions import number_rows
@@ -156,7 +160,7 @@ def test_all_paths_agree(spark, sample, tmp_path):
 def test_interchange(spark, sample, tmp_path):
     expected = expected_stats(sample)
     base = str(tmp_path / "m")
-    lines = as_lines(sample.orderBy("station"), F.col("station"), F.col("tenths"))
+    lines = number_rows(as_lines(sample, F.col("station"), F.col("tenths")), "value")
     n = interchange.write_blocks(lines, base, 16_384)
     assert n > 10
     assert sorted(stats.station_stats(interchange.read_blocks(spark, base)).collect()) == expected
@@ -172,12 +176,12 @@ def test_interchange(spark, sample, tmp_path):
     with pytest.raises(ValueError, match="encoded"):
         interchange.read_encoded(spark, str(tmp_path / "bad.col_bin"))
     with pytest.raises(ValueError, match="at most"):
-        interchange.write_blocks(spark.range(200).select(F.concat(F.lit("s"), "id", F.lit(";1.0")).alias("value")), base)
+        interchange.write_blocks(spark.range(200).select("id", F.concat(F.lit("s"), "id", F.lit(";1.0")).alias("value")), base, position="id")
 
 
 def test_damaged_block_is_an_error(spark, sample, tmp_path):
     base = str(tmp_path / "d")
-    interchange.write_blocks(as_lines(sample, F.col("station"), F.col("tenths")), base, 16_384)
+    interchange.write_blocks(number_rows(as_lines(sample, F.col("station"), F.col("tenths")), "value"), base, 16_384)
     data = bytearray((tmp_path / "d.zst_blocks").read_bytes())
     data[40:80] = bytes(40)
     (tmp_path / "d.zst_blocks").write_bytes(bytes(data))
@@ -207,6 +211,80 @@ def test_blocks(spark):
     assert blocks.skip_stats(index.limit(0), "s3").first() == (0, 0, 0, 0.0)
 
 
+@pytest.mark.parametrize("block_bytes", [1, 8, 100, 4096])
+def test_cut(spark, block_bytes):
+    """Against the rule for bytes: from the start of a block on, block_bytes more, then up to and with the next line feed."""
+    rng = random.Random(block_bytes)
+    lines = ["x" * rng.choice([0, 1, 3, 7, 40, 300]) for _ in range(700)]
+    text, starts, at = "".join(x + "\n" for x in lines), [], 0
+    while at < len(text):
+        starts.append(at)
+        end = text.find("\n", at + block_bytes)
+        at = len(text) if end < 0 else end + 1
+    expected, at = [], 0
+    for x in lines:
+        expected.append(sum(s <= at for s in starts) - 1)
+        at += len(x) + 1
+    df = spark.createDataFrame(list(enumerate(lines)), "position long, value string").repartition(3)
+    assert [r["block_id"] for r in blocks.cut(df, "position", block_bytes).orderBy("position").collect()] == expected
+
+
+def test_block_files_byte_by_byte(spark, tmp_path):
+    """Files built by hand from the format's description are read, and those written are equal to them."""
+    text = [b"Oslo;1.5\nHanoi;-2.0\n", b"Oslo;3.5\n"]
+    frames = [zstandard.ZstdCompressor(level=1).compress(t) for t in text]
+    body = b"".join(struct.pack("<II", len(z), len(t)) + z for t, z in zip(text, frames, strict=True))
+    data = b"1BRCZST1" + struct.pack("<QQ", 2, sum(map(len, text))) + body
+    told = struct.pack("<BH", 0, 5) + b"Hanoi" + struct.pack("<BH", 1, 4) + b"Oslo"
+    second = 24 + 8 + len(frames[0])
+    metas = struct.pack("<QIIQQ", 24, len(frames[0]), len(text[0]), 3, 0) + struct.pack("<QIIQQ", second, len(frames[1]), len(text[1]), 2, 0)
+    index = b"1BRCIDX1" + struct.pack("<IQ", 2, 2) + told + metas
+    (tmp_path / "a.zst_blocks").write_bytes(data)
+    (tmp_path / "a.station_idx").write_bytes(index)
+    base = str(tmp_path / "a")
+    assert sorted(interchange.read_blocks(spark, base).collect()) == [("Hanoi", -20), ("Oslo", 15), ("Oslo", 35)]
+    names, found = interchange.read_index(spark, base)
+    assert names == {0: "Hanoi", 1: "Oslo"} and found.collect() == [(0, 24, len(frames[0]), len(text[0]), [0, 1]), (1, second, len(frames[1]), len(text[1]), [1])]
+    (tmp_path / "b.txt").write_bytes(b"".join(text))
+    assert interchange.write_text_blocks(spark, str(tmp_path / "b.txt"), block_bytes=10) == 2
+    assert (tmp_path / "b.zst_blocks").read_bytes() == data and (tmp_path / "b.station_idx").read_bytes() == index
+    encoded = b"1BRCCOL1" + struct.pack("<IIQ", 2, len(told), 3) + bytes(40) + told + b"".join(struct.pack("<Bh", *r) for r in ((1, 15), (0, -20), (1, 35)))
+    (tmp_path / "a.col_bin").write_bytes(encoded)
+    rows, known = interchange.read_encoded(spark, base)
+    assert rows.collect() == [(1, 15), (0, -20), (1, 35)] and sorted(known.collect()) == [(0, "Hanoi"), (1, "Oslo")]
+    assert interchange.write_encoded(read_measurements(spark, str(tmp_path / "b.txt")), str(tmp_path / "c")) == 3
+    assert (tmp_path / "c.col_bin").read_bytes() == encoded
+
+
+def test_names_that_are_no_utf8(spark, tmp_path):
+    path = text_file(tmp_path, b"A;1.0\nB\xff;2.0\nB\xfe;3.0\n")
+    told = {how: stats.station_stats(read_measurements(spark, path, names=how)) for how in ("bytes", "strict", "lossy")}
+    assert told["bytes"].count() == 3
+    assert [r["station"] for r in told["strict"].collect()] == ["A"]
+    assert sorted((r["station"], r["n"]) for r in told["lossy"].collect()) == [("A", 1), ("B\ufffd", 2)]
+
+
+def test_carriage_returns(spark):
+    rows = spark.createDataFrame([("A;1.0\r",), ("A;1.0\r\r",), ("\r",), ("A\u2028B;1.0",), ("A;1.0\u2028",)], "value string")
+    assert sorted(parse(rows).collect()) == [("A", 10), ("A\u2028B", 10)]
+    assert count_lines(rows).first() == (2, 2)
+
+
+def test_each_line_is_formatted_and_matched_once(spark):
+    plan = catalog.station_stats_text(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("round(") == 1 and plan.count("regexp_extract(") == 1
+
+
+def test_running_offsets_in_many_steps(spark):
+    sizes = [(i, (i * 7) % 13 + 1) for i in range(1000)]
+    got = blocks.running_offsets(spark.createDataFrame(sizes, "i long, size long"), "i", "size", "at", 24, 4, 2)
+    expected, at = {}, 24
+    for i, s in sizes:
+        expected[i] = at
+        at += s
+    assert {r["i"]: r["at"] for r in got.collect()} == expected
+
+
 def test_running_offsets_over_many_groups(spark):
     sizes = [(i, (i * 7) % 13 + 1) for i in range(1000)]
     got = blocks.running_offsets(spark.createDataFrame(sizes, "i long, size long"), "i", "size", "at", 24, 64)
@@ -218,6 +296,14 @@ def test_running_offsets_over_many_groups(spark):
 
 
 def test_generator(spark):
+    states = np.concatenate(list(generate._states(2, 70_000)))
+    x = 0x853C49E6748FEA9B ^ (3 * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    for state in states.tolist():
+        x ^= x << 13 & (1 << 64) - 1
+        x ^= x >> 7
+        x ^= x << 17 & (1 << 64) - 1
+        assert state == x
+    assert len(states) == 70_000
     a = generate.generate(spark, 1003, 4)
     rows = a.collect()
     assert len(rows) == 1003 and rows == generate.generate(spark, 1003, 4).collect()
