@@ -14,7 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.storage import shared_folder, written  # noqa: F401  for the operators here
+from gaugework.plans.barriers import held, where_computed  # noqa: F401  for the operators here, like the next
+from gaugework.storage import dropped, shared_folder, written  # noqa: F401
 
 #: White space between words, as a Java and a Python character class.
 WORD_SPACE = r"[\x20\x09-\x0D]"
@@ -204,14 +205,3 @@ class Remembered:
     def put(self, key: str, value: bytes) -> None:
         self.known[key] = value
         self.used += self.ENTRY + (len(key) if key.isascii() else 4 * len(key)) + len(value)
-
-
-def where_computed(df: DataFrame, condition: Column) -> DataFrame:
-    """df.where(condition) for a condition on costly computed columns. The optimiser would move the filter below the projections that make them and so repeat
-    their expressions, inside lambdas once for each element; it moves none below a column that isn't deterministic."""
-    return df.withColumn("__held", F.monotonically_increasing_id()).where(condition & (F.col("__held") >= 0)).drop("__held")
-
-
-def held(df: DataFrame) -> DataFrame:
-    """df, whose computed columns are worked out here: later projections can't take in their expressions, which inside a lambda would be once for each element."""
-    return where_computed(df, F.lit(True))
