@@ -24,7 +24,7 @@ from gaugework.storage import drop_at_end, shared_folder
 BLOCK = 16384
 TARGET = "user_7"
 
-_TENTHS = "cast((cast(round({value} * 100) as bigint) % 1999) - 999 as int)"
+_TENTHS = "cast((cast({nearest}({value} * 100) as bigint) % 1999) - 999 as int)"  # values have two decimals, so none is halfway
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +33,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _lines(spark: SparkSession, sf_dir: str, table: str, prefix: str, key: str, value: str, *keep: str) -> DataFrame:
     rows = _table(spark, sf_dir, table)
-    rows = held(rows.select(*keep, F.concat(F.lit(prefix), F.col(key).cast("string")).alias("station"), F.expr(_TENTHS.format(value=value)).alias("tenths")))
+    rows = held(rows.select(*keep, F.concat(F.lit(prefix), F.col(key).cast("string")).alias("station"), F.expr(_TENTHS.format(nearest="rint", value=value)).alias("tenths")))
     return held(rows.select(*keep, m.format_line(F.col("station"), F.col("tenths")).alias("value")))
 
 
@@ -179,7 +179,7 @@ def _local_folder(spark) -> str:
 
 def _hundred(spark, sf_dir, *keep):
     """Lines of at most 100 stations, which the index of the block format can name."""
-    rows = held(_table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("user_"), (F.col("user_id") % 100).cast("string")).alias("station"), F.expr(_TENTHS.format(value="value")).alias("tenths")))
+    rows = held(_table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("user_"), (F.col("user_id") % 100).cast("string")).alias("station"), F.expr(_TENTHS.format(nearest="rint", value="value")).alias("tenths")))
     return rows.select(*keep, m.format_line(F.col("station"), F.col("tenths")).alias("value"))
 
 
@@ -345,11 +345,11 @@ QUERIES = {
 
 # ---- DuckDB ----
 
-_E = f"e AS (SELECT event_id, concat('user_', user_id) AS station, {_TENTHS.format(value='value')} AS tenths FROM events)"
-_S = f"s AS (SELECT concat('Supplier_', l_suppkey) AS station, {_TENTHS.format(value='l_extendedprice')} AS tenths FROM lineitem)"
-_P = f"p AS (SELECT concat('Part_', l_partkey) AS station, {_TENTHS.format(value='l_extendedprice')} AS tenths FROM lineitem)"
+_E = f"e AS (SELECT event_id, concat('user_', user_id) AS station, {_TENTHS.format(nearest='round', value='value')} AS tenths FROM events)"
+_S = f"s AS (SELECT concat('Supplier_', l_suppkey) AS station, {_TENTHS.format(nearest='round', value='l_extendedprice')} AS tenths FROM lineitem)"
+_P = f"p AS (SELECT concat('Part_', l_partkey) AS station, {_TENTHS.format(nearest='round', value='l_extendedprice')} AS tenths FROM lineitem)"
 _TEXT = "concat(CASE WHEN {0} < 0 THEN '-' ELSE '' END, CAST(abs({0}) // 10 AS VARCHAR), '.', CAST(abs({0}) % 10 AS VARCHAR))"
-_H = f"e AS (SELECT event_id, concat('user_', user_id % 100) AS station, {_TENTHS.format(value='value')} AS tenths FROM events)"
+_H = f"e AS (SELECT event_id, concat('user_', user_id % 100) AS station, {_TENTHS.format(nearest='round', value='value')} AS tenths FROM events)"
 _L = f"l AS (SELECT event_id, station, concat(station, ';', {_TEXT.format('tenths')}) AS line FROM e)"
 
 

@@ -22,8 +22,8 @@ def running_offsets(df: DataFrame, order: str, size: str, out: str, start: int =
     most `meet` of them are left for one window."""
     rows = df.withColumn("__group", F.floor(F.col(order) / fan).cast("bigint"))
     sums = rows.groupBy("__group").agg(F.sum(size).cast("bigint").alias("__sum"))
-    last = sums.agg(F.max("__group")).first()[0]
-    if last is not None and last >= meet:
+    last = df.agg(F.max(order)).first()[0]
+    if last is not None and last // fan >= meet:
         starts = running_offsets(written(sums).withColumnsRenamed({"__group": "group", "__sum": "sum"}), "group", "sum", "before", 0, fan, meet).select(F.col("group").alias("__group"), F.col("before").alias("__start"))
     else:
         before = Window.orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)

@@ -272,7 +272,7 @@ def test_carriage_returns(spark):
 
 def test_each_line_is_formatted_and_matched_once(spark):
     plan = catalog.station_stats_text(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("round(") == 1 and plan.count("regexp_extract(") == 1
+    assert plan.count("rint(") == 1 and plan.count("regexp_extract(") == 1
 
 
 def test_running_offsets_in_many_steps(spark):
