@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from gaugework.llm import base
 
-#: Fewest words of a unit: shorter sentences and lines are joined with those that follow, over line ends too.
-LEAST_WORDS = 8
+#: Fewest words of a unit: shorter sentences and lines are joined with those that follow, over line ends too. Single sentences recur by chance; of a passage of fifty words,
+#: whatever sentences its ends cut, as many are left in whole ones.
+LEAST_WORDS = 20
+#: Documents that lose text are broadcast to the texts up to so many of them, and of their spans (8 bytes); beyond, texts are shuffled to them.
+BROADCAST_ROWS, BROADCAST_SPANS = 200_000, 2_000_000
 
 #: The end of a sentence: marks, then blanks; where scripts without blanks between words occur, their own marks too, and in some of them blanks.
 _BREAK = re.compile(r"[.!?]+[\x20\x09\x0B-\x0D]+")
@@ -74,13 +77,13 @@ def digests(found: list[tuple[int, int, str, bool]]) -> list[bytes]:
 
 
 def duplicates(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, version, unit, start, end of every unit of docs (doc_id, text) whose digest occurs at an earlier rank: at a smaller doc_id, or earlier in the document.
+    """doc_id, version, start, end of units of docs (doc_id, text) whose digest occurs at an earlier rank: at a smaller doc_id, or earlier in the document.
     version: a hash of the text, so rows that repeat a doc_id with another text stay apart; exact repeats of a row have equal ranks and don't remove each other.
 
-    Each batch sends one row for a digest to the shuffle, its earliest; the others can't be the earliest of all, so they are known to go. A digest that very many
-    documents share is thus combined before the shuffle. Of a unit that overlaps the earliest one with its digest, what follows that one goes. Null texts have no units; rows with a null doc_id
-    take no part."""
-    names = ["known", "a", "b", "doc_id", "version", "unit", "start", "end"]
+    Each batch sends one row for a digest to the shuffle, its earliest; the others can't be the earliest of all, so they are known to go, and the batch joins those of a
+    document that overlap or meet. A digest that very many documents share is thus combined before the shuffle. Of a unit that overlaps the earliest one with its digest,
+    what follows that one goes. Null texts have no units; rows with a null doc_id take no part."""
+    names = ["known", "a", "b", "doc_id", "version", "start", "end"]
 
     def run(batches):
         for batch in batches:
@@ -88,9 +91,9 @@ def duplicates(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
             rows, keys = [], []
             for i, text in enumerate(batch.column("text")):
                 found = units(text.as_py(), least)
-                for n, (unit, key) in enumerate(zip(found, digests(found), strict=True)):
+                for unit, key in zip(found, digests(found), strict=True):
                     keys.append(key)
-                    rows.append((ids[i], versions[i], n, *unit[:2]))
+                    rows.append((ids[i], versions[i], *unit[:2]))
             if not rows:
                 continue
             key = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
@@ -101,17 +104,34 @@ def duplicates(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
             first = row[np.flatnonzero(new)[np.cumsum(new) - 1]]
             known = (row[:, 0] != first[:, 0]) | (row[:, 2] != first[:, 2])
             within = known & (row[:, :2] == first[:, :2]).all(axis=1)
-            row[within, 3] = np.maximum(row[within, 3], first[within, 4])
-            key = np.where(known[:, None], np.stack([row[:, 1] ^ row[:, 2], row[:, 0]], axis=1), key)  # dealt anywhere
+            row[within, 2] = np.maximum(row[within, 2], first[within, 3])
+            told = _joined(row[known])
+            key = np.concatenate([key[~known], told[:, [1, 2]]])  # those known are dealt anywhere
+            row, known = np.concatenate([row[~known], told]), np.arange(len(key)) >= len(key) - len(told)
             for s in range(0, len(row), 1 << 17):
                 e = s + (1 << 17)
                 yield pa.RecordBatch.from_arrays([pa.array(known[s:e]), *(pa.array(c[s:e]) for c in (*key.T.copy(), *row.T.copy()))], names)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = source.mapInArrow(run, "known boolean, a long, b long, doc_id long, version long, unit long, start long, end long")
-    rank = F.struct("doc_id", "unit")
-    earliest = F.first(rank).over(Window.partitionBy("known", "a", "b").orderBy("doc_id", "unit").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("late", F.col("known") | (rank > earliest)).where("late").select("doc_id", "version", "unit", "start", "end")
+    rows = source.mapInArrow(run, "known boolean, a long, b long, doc_id long, version long, start long, end long")
+    rank = F.struct("doc_id", "start")
+    earliest = F.first(rank).over(Window.partitionBy("known", "a", "b").orderBy("doc_id", "start").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("late", F.col("known") | (rank > earliest)).where("late").select("doc_id", "version", "start", "end")
+
+
+def _joined(rows: np.ndarray) -> np.ndarray:
+    """Rows of doc_id, version, start and end, of which those of a document that overlap or meet are one."""
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+    new = np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
+    # ends so far within a document: documents are set apart by more than any offset
+    apart = np.cumsum(new) << 40
+    reach = np.maximum.accumulate(rows[:, 3] + apart)
+    opens = np.concatenate(([True], rows[1:, 2] + apart[1:] > reach[:-1]))
+    at = np.flatnonzero(opens)
+    last = np.append(at[1:], len(rows)) - 1
+    return np.stack([rows[at, 0], rows[at, 1], rows[at, 2], reach[last] - apart[last]], axis=1)
 
 
 def removed_spans(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
@@ -138,8 +158,10 @@ def deduplicated(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     Extra columns are left out."""
     base.ship(docs.sparkSession)
     docs = base.own_columns(docs, "doc_id", "text")
-    spans = removed_spans(docs, least).withColumnsRenamed({"doc_id": "__doc", "version": "__version"})
-    hit = docs.join(spans, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__version")))
+    spans = base.written(removed_spans(docs, least).withColumnsRenamed({"doc_id": "__doc", "version": "__version"}))
+    size = spans.agg(F.count("*").alias("n"), F.sum(F.size("spans")).alias("spans")).first()
+    few = size["n"] <= BROADCAST_ROWS and (size["spans"] or 0) <= BROADCAST_SPANS
+    hit = docs.join(F.broadcast(spans) if few else spans, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__version")))
     return hit.select("doc_id", remaining(F.col("text"), F.col("spans")).alias("text"), F.col("spans").alias("removed"))
 
 
