@@ -480,9 +480,11 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of docs, with all their columns, without those of documents that a smaller doc_id of their component stands for."""
-    gone = base.written(join(docs, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    return _without(docs, gone, "doc_id")
+    """The rows of docs, with all their columns, whatever they are called, without those of documents that a smaller doc_id of their component stands for. Rows with a null
+    doc_id or without words stay, as do rows that repeat a doc_id that stays; an empty table gives no rows."""
+    own = base.plain(docs, "doc_id", "text")
+    gone = base.written(join(own, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    return _without(own, gone, "doc_id").toDF(*docs.columns)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

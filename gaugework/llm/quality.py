@@ -133,14 +133,16 @@ def assess(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
     trusted holds the doc_id of good documents (repeated and null ids don't matter). A null text counts as empty: no words, base_failed. A text is worked on as a
     whole, in time n log n. Ties: a ratio equal to LEAST_RATIO is kept. Repeated rows are rows of their own; of other columns, only STRATA are used."""
-    return measured(base.own_columns(docs, "doc_id", "text"), weights(docs, trusted)).select(
+    docs = base.plain(docs, "doc_id", "text", *STRATA)
+    return measured(docs.select("doc_id", "text"), weights(docs, trusted)).select(
         "doc_id", "__q.n_words", "__q.word_chars", "__q.n_symbols", "__q.n_dup_lines", "__q.n_repeat_words", "__q.base_failed", "__q.kept", "__q.ratio"
     )
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """The rows of docs that every rule keeps, with all their columns."""
-    return base.where_computed(measured(docs, weights(docs, trusted)), F.col("__q.kept")).drop("__q")
+    """The rows of docs that every rule keeps, with all their columns, whatever they are called. Nulls, ties, repeated rows and empty tables are as for assess()."""
+    own = base.plain(docs, "doc_id", "text", *STRATA)
+    return base.where_computed(measured(own, weights(own, trusted)), F.col("__q.kept")).drop("__q").toDF(*docs.columns)
 
 
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,8 +146,10 @@ def scan(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text")
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The columns of docs, with each secret in text replaced by [kind], and n_chars (where there is one) recounted for the rows that change; null texts stay null."""
+    """The rows and columns of docs, whatever they are called, with each secret in text replaced by [kind], and n_chars (where there is one) recounted for the rows that
+    change. Null texts stay null, empty ones empty; repeated rows stay; an empty table gives no rows. Texts are scanned whole."""
     base.ship(docs.sparkSession)
+    own = base.plain(docs, "text", "n_chars")
 
     def run(batches):
         spans = scanner().spans
@@ -161,7 +163,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array(counts, columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(run, docs.schema)
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)
 
 
 def joined(spans: Column) -> Column:

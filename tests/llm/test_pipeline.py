@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
+import zlib
 
 import duckdb
 import public_tokenizers as P
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_module
@@ -68,6 +73,115 @@ def test_stages(spark, tables):
     assert got == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in kept["secret scans"].items()}
 
 
+def plain_quality(docs, good):
+    """Base rules, then the ratio over hashed 1- and 2-grams, smoothed by the raw ones; one language and source."""
+    from collections import Counter
+
+    long = lambda h, seed: xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed)
+    kept, grams = {}, {}
+    for i, t in docs.items():
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in (t or "").split()]
+        grams[i] = [x % quality.BUCKETS for x in [*h, *(long(b, long(a, 42)) for a, b in zip(h, h[1:], strict=False))]]
+    raw, target = Counter(), Counter()
+    for i, g in grams.items():
+        raw.update(g)
+        target.update(g if i in good else [])
+    prior = [(raw[g] + 1) / (raw.total() + quality.BUCKETS) for g in range(quality.BUCKETS)]
+    n = target.total() + quality.PRIOR
+    weight = [math.log((target[g] + quality.PRIOR * p) / n / p) for g, p in enumerate(prior)]
+    for i, t in docs.items():
+        w = (t or "").split()
+        windows = Counter(zip(w, w[1:], w[2:], strict=False))
+        repeated = {p + j for p in range(len(w) - 2) if windows[w[p], w[p + 1], w[p + 2]] > 1 for j in range(3)}
+        if len(w) < 50 or 100 * len(repeated) > 50 * len(w):
+            continue
+        if sum(weight[g] for g in grams[i]) / len(grams[i]) >= quality.LEAST_RATIO:
+            kept[i] = t
+    return kept
+
+
+def plain_lines(docs):
+    """Without lines in runs of three that stand earlier, and lines of eight words that do; of texts where no run of just two repeats."""
+    seen, out = set(), {}
+    for i in sorted(docs):
+        lines = docs[i].split("\n")
+        at = [n for n, x in enumerate(lines) if x.strip()]
+        words = [lines[n].strip() for n in at]
+        gone = set()
+        for p in range(len(words)):
+            for size in (1, 3):
+                run = tuple(words[p:p + size])
+                if len(run) == size and (size == 3 or len(words[p].split()) >= 8):
+                    if run in seen:
+                        gone |= set(range(p, p + size))
+                    seen.add(run)
+        lost = {at[p] for p in gone} | {n for p in gone if p + 1 in gone for n in range(at[p], at[p + 1])}
+        text = "\n".join(x for n, x in enumerate(lines) if n not in lost)
+        if not gone or text.strip():
+            out[i] = text
+    return out
+
+
+def plain_near(docs):
+    sets = {i: {tuple(w[p:p + 5]) for p in range(max(len(w) - 4, 1))} if (w := t.lower().split()) else set() for i, t in docs.items()}
+    root = {i: i for i in docs}
+    for i in sorted(docs):
+        for j in sorted(docs):
+            if j < i and sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if r == b else r for k, r in root.items()}
+    return {i: t for i, t in docs.items() if root[i] == i}
+
+
+def plain_secrets(docs):
+    pattern = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""")
+    return {i: pattern.sub("[assign]", t) for i, t in docs.items()}
+
+
+def test_run_against_plain_python(spark, tables):
+    """run() on rows with clashing columns, a null doc_id, repeated rows and a very long text."""
+    folder = f"{tables}-more"
+    source = spark.read.parquet(f"{tables}/documents.parquet")
+    rng = random.Random(77)
+    long = "\n".join(" ".join(rng.choices([f"word{i}" for i in range(400)], k=12)) for _ in range(9000))
+    extra = spark.createDataFrame([(100, long, "en", "s", len(long)), (101, "", "en", "s", 0)], source.schema)
+    docs = source.unionByName(extra)
+    docs.select("*", F.lit(7).alias("a.b"), F.lit(8).alias("__q"), F.lit(9).alias("runs"), F.lit("x").alias("component_id")).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{tables}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    good = {r["doc_id"] for r in spark.read.parquet(f"{tables}/labels.parquet").where("quality = 1").collect()}
+    expected = plain_secrets(plain_near(plain_lines(plain_quality(texts, good))))
+    assert 100 in expected and 101 not in expected and len(expected) < len(texts) - 12
+    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    got = {}
+    for r in corpus_pipeline.run(spark, folder).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"]))
+    assert sorted(got) == sorted(expected)
+    for i, pieces in got.items():
+        ids, at = [*tokenizer.encode(expected[i], add_special_tokens=False).ids, 2], 0
+        for start, length, crc in sorted(pieces):
+            assert start == at and crc == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[at:at + length]))
+            at += length
+        assert at == len(ids)
+
+
+def test_rows_of_every_kind_pass_the_stages(spark, tables):
+    """Null doc_ids, repeated rows and columns of any name."""
+    schema = "`a.b` int, doc_id long, text string, __held int, __gone int, Doc_ID string, lang string, source string, n_chars long, `c0` int, removed int"
+    words = [" ".join(f"w{(i * 7 + j) % 90}x{i}" for j in range(60)) for i in range(4)]
+    rows = [(1, i, t, 2, 3, "d", "en", "s", 9, 4, 5) for i, t in [(None, words[0]), (2, words[1]), (2, words[1]), (3, words[2]), (None, None), (4, None), (5, "")]]
+    df = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tables}-kinds/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, df, f"{tables}-kinds")
+        assert got.columns == df.columns
+        kept = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in got.collect())
+        assert all(tuple(r)[:1] + tuple(r)[3:] == (1, 2, 3, "d", "en", "s", 9, 4, 5) for r in got.collect())
+        expected = [(False, 2, words[1]), (False, 2, words[1]), (False, 3, words[2]), (True, 0, words[0])]
+        assert [k for k in kept if k[2]] == expected, name
+        assert len(kept) == (4 if name == "quality rules" else 7)
+
+
 def test_empty_documents(spark, tables, tmp_path):
     spark.read.parquet(f"{tables}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{tables}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
