@@ -71,15 +71,15 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
 HOT = 4096
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], total: int) -> DataFrame:
-    """rows.join(counted, on), where counted (stored) has one row for a key, with `n`, how many of all `total` rows have it. Keys of very many rows, at most HOT of them, are
-    broadcast, so that none lands in one task; the others are shuffled."""
+def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
+    """rows.join(counted, on, how) (inner or left), where counted (stored) has one row for a key, with `n`, how many of all `total` rows have it. Keys of very many rows, at
+    most HOT of them, are broadcast, so that none lands in one task; the others are shuffled."""
     limit = max(total // HOT, 1000)
     hot = counted.where(F.col("n") > limit)
     if hot.isEmpty():
-        return rows.join(counted, on)
+        return rows.join(counted, on, how)
     common = rows.join(F.broadcast(hot), on)
-    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(counted.where(F.col("n") <= limit), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(counted.where(F.col("n") <= limit), on, how)
     return common.unionByName(rest)
 
 

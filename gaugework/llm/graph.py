@@ -8,28 +8,41 @@ from pyspark.sql import functions as F
 from gaugework.llm import base
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """edges with m, the least of u and of all v that go with it, and n, their number. The minimum is combined before the shuffle, so a hub costs a row a task; the edges
+    of hubs stay where they are."""
+    least = base.written(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+    return base.join_counted(edges, least, ["u"], total)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))  # combined before the shuffle, so a hub costs a row a task
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    down = base.written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    least = down.groupBy("u").agg(F.min("v").alias("v"))
+    return _with_least(down, total).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+def _done(edges: DataFrame) -> bool:
+    """Whether these (u > v) are stars around their least nodes: each u has one v, and no v is a u."""
+    if edges.groupBy("u").count().where("count > 1").limit(1).count():
+        return False
+    return edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the least node that each node of (u, v) is connected with. Each round is written to the shared folder; rounds end when one changes nothing.
+    """node, root: the least node that each node of (u, v) is connected with. Each round is written to the shared folder, and deleted after the next; rounds end when stars
+    are left. A node that is in very many edges is no hot key (see join_counted).
 
     Empty edges give no rows; loops, repeated edges and either direction don't matter; edges with a null end are left out."""
-    now = base.written(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).distinct())
-    state = None
-    while True:
-        row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (row["n"], row["h"]) == state or row["n"] == 0:
-            break
-        state = (row["n"], row["h"])
-        now = base.written(_small_star(_large_star(now)))
+    ends = (F.col("u").cast("long"), F.col("v").cast("long"))
+    some = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest(*ends).alias("u"), F.least(*ends).alias("v"))
+    now = base.written(some.distinct())
+    while not _done(now):
+        total = now.count()
+        before, now = now, base.written(_small_star(_large_star(now, total), total))
+        base.dropped(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -465,8 +465,11 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     docs = base.own_columns(docs, "doc_id", "text")
     prints = base.written(digests(docs, k))
     sets = prints.where("d1 IS NOT NULL AND doc_id IS NOT NULL")
-    classes = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("n").alias("n"))
-    copies = sets.join(classes.where("rep <> last").select("d1", "d2", "rep"), ["d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("copy"))
+    # copies: how many rows have the set; a class of very many of them is no hot key (see join_counted)
+    classes = base.written(sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("n").alias("n"), F.count("*").alias("copies")))
+    n_rows = prints.count()
+    counted = base.written(classes.where("rep <> last").select("d1", "d2", "rep", F.col("copies").alias("n")))
+    copies = base.join_counted(sets.select("d1", "d2", "doc_id"), counted, ["d1", "d2"], n_rows).where("doc_id <> rep").select(F.col("doc_id").alias("copy"))
     alone = _without(_source(docs).where("rep IS NOT NULL"), base.written(copies), "rep")
     sizes = classes.select("rep", "n")
     total = classes.agg(F.sum("n")).first()[0] or 0  # about one signature for each shingle of a class
@@ -474,9 +477,10 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     base.release(docs.sparkSession)
     clusters = refined(docs, found, sizes, k, t)
     linked = components(verified(docs, clusters, sizes, k, t))
-    named = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").where("rep <> last OR root IS NOT NULL").select("d1", "d2", F.coalesce("root", "rep").alias("root"))
-    found = prints.join(named, ["d1", "d2"], "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+    named = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").where("rep <> last OR root IS NOT NULL")
+    named = base.written(named.select("d1", "d2", F.coalesce("root", "rep").alias("root"), F.col("copies").alias("n")))
+    found = base.join_counted(prints.withColumnRenamed("n", "n_shingles"), named, ["d1", "d2"], n_rows, "left")
+    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+from gaugework.llm import base
 from gaugework.llm.graph import components
 
 
@@ -24,3 +25,12 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect()
     assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in list(root))
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_hubs(spark, monkeypatch):
+    """A node in very many edges, the least of its component or not: hot keys are joined by broadcast, with the same result."""
+    monkeypatch.setattr(base, "HOT", 10**9)
+    edges = [(5000, i) for i in range(2, 1500)] + [(0, 7000 + i) for i in range(1500)] + [(1499, 1499 + 7000), (20_000, 20_001)]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long").repartition(3)).collect()))
+    assert got.pop(20_000) == got.pop(20_001) == 20_000
+    assert set(got) == {0, 5000, *range(2, 1500), *range(7000, 8500)} and set(got.values()) == {0}
