@@ -1,5 +1,8 @@
 """Operator 2: nearest neighbours by a block matrix join. Vectors are quantised to int8; product tiles give inner products with error bounds; pairs whose upper
-bound reaches a query's k-th best lower bound are computed again from the original vectors in double precision and merged by heaps. The result is exact."""
+bound reaches a query's k-th best lower bound are computed again from the original vectors in double precision and merged by heaps. The result is exact.
+
+Original vectors go to the cells, in the precision that they are stored in: of a group of near copies, which may be a third of all rows, every pair survives the bounds, and
+as rows of a shuffle these would grow with its square; within a cell they cost a product each and a heap holds k of them."""
 
 from __future__ import annotations
 
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from gaugework.llm import base
 
 #: Queries and candidates of a cell of the grid, and rows and columns of a tile.
-QUERY_BLOCK, SHARD, TILE_ROWS, TILE_COLUMNS = 1024, 16384, 256, 4096
+QUERY_BLOCK, SHARD, TILE_ROWS, TILE_COLUMNS = 4096, 16384, 256, 4096
 #: Dimensions that one product may sum: integers up to 127 * 127 * 1024 are exact in float32.
 EXACT_DIMENSIONS = 1024
 
@@ -29,16 +32,25 @@ class Block:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.scale = np.abs(vectors).max(axis=1) / 127
+        self.scale = np.maximum(np.abs(vectors).max(axis=1) / 127, np.nextafter(0, 1))  # of the smallest of all numbers a share is none
         self.small = np.rint(vectors / self.scale[:, None]).astype(np.int8)
         near = self.small * self.scale[:, None]
-        self.near_norm = np.linalg.norm(near, axis=1)
-        self.error = np.linalg.norm(vectors - near, axis=1)
-        self.norm = np.linalg.norm(vectors, axis=1)
+        self.near_norm, self.error, self.norm = _norms(near), _norms(vectors - near), _norms(vectors)
+
+
+def _norms(rows: np.ndarray) -> np.ndarray:
+    """Lengths, whose squares neither vanish nor overflow."""
+    most = np.abs(rows).max(axis=1)
+    return most * np.linalg.norm(rows / np.where(most > 0, most, 1)[:, None], axis=1)
 
 
 def tile(q: Block, rows: slice, c: Block, columns: slice) -> tuple[np.ndarray, np.ndarray]:
     """Estimates of the inner products of a tile, and bounds of their errors (with room for rounding)."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return _tile(q, rows, c, columns)
+
+
+def _tile(q: Block, rows: slice, c: Block, columns: slice) -> tuple[np.ndarray, np.ndarray]:
     total = None
     for at in range(0, q.small.shape[1], EXACT_DIMENSIONS):
         part = q.small[rows, at:at + EXACT_DIMENSIONS].astype(np.float32) @ c.small[columns, at:at + EXACT_DIMENSIONS].astype(np.float32).T
@@ -64,16 +76,17 @@ class Search:
                 columns = slice(s, s + TILE_COLUMNS)
                 estimate, bound = tile(q, rows, c, columns)
                 own = q.ids[rows, None] == c.ids[None, columns]
-                low = np.where(own, -np.inf, estimate - bound)
+                low = np.where(own | np.isnan(estimate - bound), -np.inf, estimate - bound)
                 limit = self.least[rows].copy()
                 if low.shape[1] >= k:
                     limit = np.maximum(limit, np.partition(low, -k, axis=1)[:, -k])
-                i, j = np.nonzero((estimate + bound >= limit[:, None]) & ~own)
+                i, j = np.nonzero(~(estimate + bound < limit[:, None]) & ~own)  # where numbers overflow, no bound holds
                 for a in range(0, len(i), 1 << 16):
                     self.merge(i[a:a + (1 << 16)] + r, j[a:a + (1 << 16)] + s, c)
 
     def merge(self, i: np.ndarray, j: np.ndarray, c: Block) -> None:
-        scores = (self.queries.vectors[i] * c.vectors[j]).sum(axis=1)
+        with np.errstate(over="ignore"):
+            scores = (self.queries.vectors[i] * c.vectors[j]).sum(axis=1)
         for row, score, vec in zip(i.tolist(), scores.tolist(), c.ids[j].tolist(), strict=True):
             heap = self.heaps[row]
             if len(heap) < self.k:
@@ -110,10 +123,12 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_
     """query_id, rank (from 1), vec_id, score: the k rows of largest inner product with each query row, itself left out; ties go to the smaller vec_id.
 
     Queries and candidates meet in cells of a grid (block of queries, shard of candidates); cells only hold vectors of one dimension. A task holds one block of
-    queries and streams its candidates. Rows that repeat a vec_id count once (the least vector). An empty table, or one vector alone, gives no rows."""
+    queries and streams its candidates. Rows that repeat a vec_id count once (the least vector); rows with a null vec_id or a vector that is not usable() take no part; an
+    empty table, or one vector alone, gives no rows. Other columns are left out, so their names can't clash."""
     spark = vectors.sparkSession
     base.ship(spark)
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), is_query.alias("is_query"))
+    kind = "float" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{kind}>").alias("v"), is_query.alias("is_query"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     size = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("queries")).first()
     blocks, shards = max(1, -(-size["queries"] // QUERY_BLOCK)), max(1, -(-size["n"] // SHARD))

@@ -4,6 +4,7 @@ open sequence is the one with the largest dot product of its needs and of the ro
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,12 +25,16 @@ POOL = 1024
 REMEMBERED = 80 << 20
 #: Marks that are no letters, digits or apostrophes.
 MARKS = ".,;:!?"
+# ---- fixed values: how a tokenizer must prepare texts so that its words can be encoded one by one, in lower case, and marks after a letter apart ----
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The id that ends a document.
 END = 2
 
 
 class Words:
-    """Ids of texts by a tokenizer that never looks across blanks and line feeds: each distinct run between them is encoded once."""
+    """Ids of texts. By a tokenizer that never looks across blanks and line feeds and takes upper case as lower (told by its file, see NORMALIZERS and SPLIT), each distinct
+    run between them is encoded once; by any other, texts are encoded whole."""
 
     def __init__(self, blob: bytes):
         import os
@@ -39,6 +44,7 @@ class Words:
 
         self.tokenizer = Tokenizer.from_str(blob.decode())
         self.words = base.Remembered(REMEMBERED)
+        self.by_word = word_by_word(json.loads(blob))
 
     def learn(self, words: set[str]) -> None:
         """Ids of new words. Marks after a last letter are pieces of their own in any word, and case doesn't matter, so what is encoded is the word without them."""
@@ -59,12 +65,24 @@ class Words:
             self.words.put(w, known[core] + known[end])
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").split(" ") for t in texts]
         self.learn(set().union(*split))
         known = self.words.known.__getitem__
         return [b"".join(map(known, s)) for s in split]
 
 
+def word_by_word(spec: dict) -> bool:
+    """Whether a tokenizer's file says that blanks and line feeds part all it joins, that case doesn't matter, and that nothing is put before or after a text."""
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    first = steps[0]
+    split = first.get("type") == "Split" and first.get("pattern") == {"Regex": SPLIT} and first.get("behavior") == "Removed" and first.get("invert")
+    rest = all(s.get("type") == "ByteLevel" and not s.get("add_prefix_space") and not s.get("use_regex") for s in steps[1:])
+    special = all(t.get("special") and not t.get("normalized") and not any(c.isspace() for c in t["content"]) and not any(t.get(k) for k in ("single_word", "lstrip", "rstrip")) for t in spec.get("added_tokens") or [])
+    return bool(split and rest and special and (spec.get("normalizer") or {}).get("normalizers") == NORMALIZERS and not spec.get("truncation") and not spec.get("padding"))
+
+
 _WORDS: dict[str, Words] = {}
 
 
@@ -187,7 +205,9 @@ def pack_documents(df: DataFrame, tokenizer_path: str, tokens: int = TOKENS, seg
     ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and END; a null or empty text is END alone; every token bears loss. Each partition packs its own rows while it reads them: nothing
-    is shuffled, and a task holds at most POOL remainders, each shorter than a sequence. Sequence ids are unique over partitions. Repeated rows are packed each."""
+    is shuffled, and a task holds at most POOL remainders, each shorter than a sequence. Sequence ids are unique over partitions. Repeated rows are packed each;
+    a null doc_id stays null; an empty table gives no rows; other columns are left out. Texts are encoded whole, however long. The last sequence of a task, where it isn't full,
+    is dealt into sequences of powers of two, at most twelve, which need no padding."""
     spark = df.sparkSession
     base.ship(spark)
     with open(tokenizer_path, "rb") as f:

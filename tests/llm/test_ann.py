@@ -57,6 +57,15 @@ def test_edges(spark):
     assert run(spark, [], 3, 10) == [] and run(spark, rows[:1], 3, 10) == []
 
 
+def test_smallest_numbers_and_doubles(spark):
+    tiny = 5e-324
+    rows = [(20, [tiny, -tiny]), (0, [tiny, 0.0]), (1, [tiny * 3, -tiny]), (2, [1e300, 1e-300]), (3, [0.1, 0.2]), (10, [0.3, tiny])]
+    block = ann.Block(np.arange(6), np.array([v for _, v in rows]))
+    assert not np.isnan(block.error).any() and (block.scale > 0).all()
+    df = spark.createDataFrame([(i, v, "x", 1.0) for i, v in rows], "vec_id long, embedding array<double>, query_id string, score double")
+    assert sorted(map(tuple, ann.neighbours(df, F.col("vec_id") % 10 == 0, 3).collect())) == brute(rows, 3, 10)
+
+
 def test_wide_vectors_stay_exact():
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=(5, 3000)), rng.normal(size=(40, 3000))

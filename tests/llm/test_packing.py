@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import zlib
 
@@ -57,6 +58,25 @@ def test_documents(spark, tokens, segments):
     assert tokens == 100 or padding == 0
 
 
+def test_any_tokenizer(tmp_path):
+    """A tokenizer whose words can't be encoded one by one encodes whole texts; a long text is one too."""
+    text = "The cat's  HAT,\nthe cat. " * 3
+    long = "".join(f"word{i % 977} " for i in range(300_000))
+    for name, by_word in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        with open(P.path(name), "rb") as f:
+            words = packing.Words(f.read())
+        assert words.by_word == by_word
+        for t in (text, "", long):
+            assert np.frombuffer(words.encode([t])[0], "<u4").tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids
+    spec = json.load(open(PATH))  # noqa: SIM115
+    assert packing.word_by_word(spec)
+    cased = json.loads(json.dumps(spec))
+    cased["normalizer"]["normalizers"].pop()
+    words = packing.Words(json.dumps(cased).encode())
+    assert not words.by_word
+    assert np.frombuffer(words.encode([text])[0], "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_small_pool_and_empty(spark, monkeypatch):
     monkeypatch.setattr(packing, "POOL", 8)
     docs = corpus(1, 50)
