@@ -62,7 +62,8 @@ class Words:
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.words.put(w, array("I", e.ids).tobytes())
         for w, (core, end) in parts.items():
-            self.words.put(w, known[core] + known[end])
+            if w != core:
+                self.words.put(w, known[core] + known[end])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
