@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from gaugework.llm import quality
@@ -44,6 +45,17 @@ def test_counts(spark):
     assert all(r["kept"] == (not r["base_failed"] and r["ratio"] >= quality.LEAST_RATIO) for r in got if r["ratio"] is not None)
 
 
+def test_very_long_texts(spark):
+    """One run of three words, many repeated windows, none, and a line repeated very often: whole, and in time n log n."""
+    rng = random.Random(3)
+    rows = ["one two three " * 60_000, " ".join(rng.choices([f"v{i}" for i in range(25)], k=120_000)), " ".join(f"w{i}" for i in range(150_000)), "a line of words\n" * 40_000, "x" * 500_000, " " * 500_000]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(6)
+    began = time.perf_counter()
+    got = quality.assess(df, df.select("doc_id").limit(1)).collect()
+    assert time.perf_counter() - began < 90
+    assert sorted(tuple(r)[:7] for r in got) == [(i, *counts(t)) for i, t in enumerate(rows)]
+
+
 def _corpus():
     rng = random.Random(2)
     good, junk = [f"good{i}" for i in range(300)], [f"junk{i}" for i in range(300)]
