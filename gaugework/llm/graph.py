@@ -8,22 +8,24 @@ from pyspark.sql import functions as F
 from gaugework.llm import base
 
 
-def _with_least(edges: DataFrame, total: int) -> DataFrame:
+def _with_least(edges: DataFrame, total: int, stored: list[DataFrame]) -> DataFrame:
     """edges with m, the least of u and of all v that go with it, and n, their number. The minimum is combined before the shuffle, so a hub costs a row a task; the edges
-    of hubs stay where they are."""
+    of hubs stay where they are. What is written for it is added to `stored`."""
     least = base.written(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+    stored.append(least)
     return base.join_counted(edges, least, ["u"], total)
 
 
-def _large_star(edges: DataFrame, total: int) -> DataFrame:
+def _large_star(edges: DataFrame, total: int, stored: list[DataFrame]) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both, 2 * total, stored).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
+def _small_star(edges: DataFrame, total: int, stored: list[DataFrame]) -> DataFrame:
     down = base.written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    stored.append(down)
     least = down.groupBy("u").agg(F.min("v").alias("v"))
-    return _with_least(down, total).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least).where("u <> v").distinct()
+    return _with_least(down, total, stored).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least).where("u <> v").distinct()
 
 
 def _done(edges: DataFrame) -> bool:
@@ -42,7 +44,8 @@ def components(edges: DataFrame) -> DataFrame:
     some = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest(*ends).alias("u"), F.least(*ends).alias("v"))
     now = base.written(some.distinct())
     while not _done(now):
-        total = now.count()
-        before, now = now, base.written(_small_star(_large_star(now, total), total))
-        base.dropped(before)
+        total, stored = now.count(), [now]
+        now = base.written(_small_star(_large_star(now, total, stored), total, stored))
+        for frame in stored:
+            base.dropped(frame)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
