@@ -83,6 +83,31 @@ def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], total: int,
     return common.unionByName(rest)
 
 
+def trim() -> None:
+    """Gives memory that a finished task freed back to the system: Python workers outlive their tasks, and those of the next stage need it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
+def trimmed(run):
+    """A function for mapInArrow that trims when its last batch is out."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
 def hex_digest(c: Column) -> Column:
     return F.sha2(c, 256)
 

@@ -25,6 +25,8 @@ from gaugework.llm.graph import components
 BAND = 1.2
 #: Limits of a block of a cluster: sets, and bytes of their hashes.
 BLOCK_SETS, BLOCK_BYTES = 1024, 4 << 20
+#: Bytes of texts that are hashed together.
+SLICE = 2 << 20
 #: Points in a leaf, and children of a node, of the tree.
 LEAF, FAN = 32, 8
 #: Signatures that one task sorts at a time (14 to 16 bytes each).
@@ -118,7 +120,7 @@ def digest(h: np.ndarray) -> tuple[int, int]:
 
 def _texts(batch: pa.RecordBatch, name: str):
     column = batch.column(name)
-    for a, b in base.slices([len(t.as_buffer()) for t in column]):
+    for a, b in base.slices([len(t.as_buffer()) for t in column], SLICE):
         yield a, b, [t.as_buffer().to_pybytes() for t in column[a:b]]
 
 
@@ -136,7 +138,7 @@ def digests(docs: DataFrame, k: int) -> DataFrame:
                 d = [digest(h) for h in sets]
                 yield pa.RecordBatch.from_arrays([batch.column("rep")[a:b], pa.array(map(len, sets), pa.int64(), size=b - a), *(pa.array(x, pa.int64()) for x in zip(*d, strict=True))], ["doc_id", "n", "d1", "d2"])
 
-    return _source(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
+    return _source(docs).mapInArrow(base.trimmed(run), "doc_id long, n long, d1 long, d2 long")
 
 
 def _without(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -224,8 +226,8 @@ def stars(docs: DataFrame, k: int, t: Threshold, n_rows: int) -> DataFrame:
         if waiting:
             yield out()
 
-    rows = docs.mapInArrow(combine, "bucket long, rows binary")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "u long, v long").distinct()
+    rows = docs.mapInArrow(base.trimmed(combine), "bucket long, rows binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(base.trimmed(meet), "u long, v long").distinct()
 
 
 # ---- the tree ----
@@ -422,8 +424,8 @@ def refined(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, k: int, t: T
         return near_links(counts, ns, sides, t)
 
     key = ("root", "band", "i", "j")
-    rows = _chosen(docs, chosen).mapInArrow(pointed, "root long, band long, i int, j int, side int, rep long, n long, value binary")
-    edges = rows.repartition(*key).sortWithinPartitions(*key, "rep").mapInArrow(_cells(key, solve), "u long, v long")
+    rows = _chosen(docs, chosen).mapInArrow(base.trimmed(pointed), "root long, band long, i int, j int, side int, rep long, n long, value binary")
+    edges = rows.repartition(*key).sortWithinPartitions(*key, "rep").mapInArrow(base.trimmed(_cells(key, solve)), "u long, v long")
     small = members.join(large, "root", "left_anti").select(F.col("rep").alias("node"), "root")
     return small.unionByName(components(edges))
 
@@ -449,8 +451,8 @@ def verified(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, k: int, t:
         return cluster_links([np.frombuffer(v, np.uint64) for v in values], sides, t)
 
     key = ("root", "i", "j")
-    rows = _chosen(docs, chosen).mapInArrow(hashed, "root long, i int, j int, side int, rep long, n long, value binary")
-    return rows.repartition(*key).sortWithinPartitions(*key, "rep").mapInArrow(_cells(key, solve), "u long, v long")
+    rows = _chosen(docs, chosen).mapInArrow(base.trimmed(hashed), "root long, i int, j int, side int, rep long, n long, value binary")
+    return rows.repartition(*key).sortWithinPartitions(*key, "rep").mapInArrow(base.trimmed(_cells(key, solve)), "u long, v long")
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:

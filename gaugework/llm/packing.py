@@ -22,7 +22,7 @@ TOKENS, SEGMENTS, LOSS = 4096, 512, 4096
 #: Examples that wait in one task for a place; more are packed before others are read.
 POOL = 1024
 #: Bytes of each of the two generations of words that a Python worker remembers.
-REMEMBERED = 80 << 20
+REMEMBERED = 56 << 20
 #: Marks that are no letters, digits or apostrophes.
 MARKS = ".,;:!?"
 # ---- fixed values: how a tokenizer must prepare texts so that its words can be encoded one by one, in lower case, and marks after a letter apart ----
@@ -36,7 +36,7 @@ class Words:
     """Ids of texts. By a tokenizer that never looks across blanks and line feeds and takes upper case as lower (told by its file, see NORMALIZERS and SPLIT), each distinct
     run between them is encoded once; by any other, texts are encoded whole."""
 
-    def __init__(self, blob: bytes):
+    def __init__(self, blob: bytes, by_word: bool):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,7 +44,7 @@ class Words:
 
         self.tokenizer = Tokenizer.from_str(blob.decode())
         self.words = base.Remembered(REMEMBERED)
-        self.by_word = word_by_word(json.loads(blob))
+        self.by_word = by_word
 
     def learn(self, words: set[str]) -> None:
         """Ids of new words. Marks after a last letter are pieces of their own in any word, and case doesn't matter, so what is encoded is the word without them."""
@@ -87,10 +87,10 @@ def word_by_word(spec: dict) -> bool:
 _WORDS: dict[str, Words] = {}
 
 
-def words(blob: bytes) -> Words:
+def words(blob: bytes, by_word: bool) -> Words:
     key = hashlib.sha256(blob).hexdigest()
     if key not in _WORDS:
-        _WORDS[key] = Words(blob)
+        _WORDS[key] = Words(blob, by_word)
     return _WORDS[key]
 
 
@@ -212,12 +212,13 @@ def pack_documents(df: DataFrame, tokenizer_path: str, tokens: int = TOKENS, seg
     spark = df.sparkSession
     base.ship(spark)
     with open(tokenizer_path, "rb") as f:
-        blob = spark.sparkContext.broadcast(f.read())
+        file = f.read()
+    by_word, blob = word_by_word(json.loads(file)), spark.sparkContext.broadcast(file)
     source = df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
-        encode = words(blob.value).encode
+        encode = words(blob.value, by_word).encode
         packer, number = Packer(tokens, segments, tokens, cut=True), TaskContext.get().partitionId() << 40
         held: dict[int, list] = {}  # serial number of a document: doc_id, ids, tokens that have no place yet
         serial = 0
@@ -252,7 +253,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, tokens: int = TOKENS, seg
                 yield rows(made)
         yield rows(packer.finish())
 
-    return source.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return source.mapInArrow(base.trimmed(run), ", ".join(f"{n} long" for n in names))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,7 +163,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array(counts, columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return own.mapInArrow(run, own.schema).toDF(*docs.columns)
+    return own.mapInArrow(base.trimmed(run), own.schema).toDF(*docs.columns)
 
 
 def joined(spans: Column) -> Column:

@@ -64,15 +64,16 @@ def test_any_tokenizer(tmp_path):
     long = "".join(f"word{i % 977} " for i in range(300_000))
     for name, by_word in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
         with open(P.path(name), "rb") as f:
-            words = packing.Words(f.read())
-        assert words.by_word == by_word
+            file = f.read()
+        assert packing.word_by_word(json.loads(file)) == by_word
+        words = packing.Words(file, by_word)
         for t in (text, "", long):
             assert np.frombuffer(words.encode([t])[0], "<u4").tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids
     spec = json.load(open(PATH))  # noqa: SIM115
     assert packing.word_by_word(spec)
     cased = json.loads(json.dumps(spec))
     cased["normalizer"]["normalizers"].pop()
-    words = packing.Words(json.dumps(cased).encode())
+    words = packing.Words(json.dumps(cased).encode(), packing.word_by_word(cased))
     assert not words.by_word
     assert np.frombuffer(words.encode([text])[0], "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
 
