@@ -23,6 +23,8 @@ TOKENS, SEGMENTS, LOSS = 4096, 512, 4096
 POOL = 1024
 #: Bytes of each of the two generations of words that a Python worker remembers.
 REMEMBERED = 56 << 20
+#: Bytes of texts that are encoded together.
+SLICE = 2 << 20
 #: Marks that are no letters, digits or apostrophes.
 MARKS = ".,;:!?"
 # ---- fixed values: how a tokenizer must prepare texts so that its words can be encoded one by one, in lower case, and marks after a letter apart ----
@@ -36,14 +38,14 @@ class Words:
     """Ids of texts. By a tokenizer that never looks across blanks and line feeds and takes upper case as lower (told by its file, see NORMALIZERS and SPLIT), each distinct
     run between them is encoded once; by any other, texts are encoded whole."""
 
-    def __init__(self, blob: bytes, by_word: bool):
+    def __init__(self, blob: bytes, by_word: bool, remembered: int = REMEMBERED):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(blob.decode())
-        self.words = base.Remembered(REMEMBERED)
+        self.words = base.Remembered(remembered)
         self.by_word = by_word
 
     def learn(self, words: set[str]) -> None:
@@ -87,10 +89,11 @@ def word_by_word(spec: dict) -> bool:
 _WORDS: dict[str, Words] = {}
 
 
-def words(blob: bytes, by_word: bool) -> Words:
+def words(blob: bytes, by_word: bool, remembered: int) -> Words:
     key = hashlib.sha256(blob).hexdigest()
     if key not in _WORDS:
         _WORDS[key] = Words(blob, by_word)
+    _WORDS[key].words.most = remembered
     return _WORDS[key]
 
 
@@ -201,14 +204,14 @@ def pack_examples(df: DataFrame, tokens: int = TOKENS, segments: int = SEGMENTS,
     return source.mapInArrow(run, f"key {kind}, sequence_id long, offset long, length long")
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, tokens: int = TOKENS, segments: int = SEGMENTS) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer_path: str, tokens: int = TOKENS, segments: int = SEGMENTS, remembered: int = REMEMBERED) -> DataFrame:
     """Packs whole documents (doc_id, text) into sequences of at most `tokens`, cutting where it fills a sequence. One row per piece: doc_id, start, length,
     ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and END; a null or empty text is END alone; every token bears loss. Each partition packs its own rows while it reads them: nothing
     is shuffled, and a task holds at most POOL remainders, each shorter than a sequence. Sequence ids are unique over partitions. Repeated rows are packed each;
     a null doc_id stays null; an empty table gives no rows; other columns are left out. Texts are encoded whole, however long. The last sequence of a task, where it isn't full,
-    is dealt into sequences of powers of two, at most twelve, which need no padding."""
+    is dealt into sequences of powers of two, at most twelve, which need no padding. remembered: bytes of each of a worker's two generations of words."""
     spark = df.sparkSession
     base.ship(spark)
     with open(tokenizer_path, "rb") as f:
@@ -218,7 +221,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, tokens: int = TOKENS, seg
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
-        encode = words(blob.value, by_word).encode
+        encode = words(blob.value, by_word, remembered).encode
         packer, number = Packer(tokens, segments, tokens, cut=True), TaskContext.get().partitionId() << 40
         held: dict[int, list] = {}  # serial number of a document: doc_id, ids, tokens that have no place yet
         serial = 0
@@ -243,7 +246,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, tokens: int = TOKENS, seg
         end = END.to_bytes(4, "little")
         for batch in batches:
             texts, ids_of = batch.column("text"), batch.column("doc_id").to_pylist()
-            for a, b in base.slices([len(t.as_buffer()) for t in texts]):
+            for a, b in base.slices([len(t.as_buffer()) for t in texts], SLICE):
                 made = []
                 for doc_id, ids in zip(ids_of[a:b], encode(texts[a:b].to_pylist()), strict=True):
                     ids += end

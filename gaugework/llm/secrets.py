@@ -145,6 +145,13 @@ def scan(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text")
     return source.mapInArrow(run, schema)
 
 
+def _parts(batches, text: str):
+    """Batches of about a megabyte of text, one row at least."""
+    for batch in batches:
+        for a, b in base.slices([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(text)], 1 << 20):
+            yield batch.slice(a, b - a)
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """The rows and columns of docs, whatever they are called, with each secret in text replaced by [kind], and n_chars (where there is one) recounted for the rows that
     change. Null texts stay null, empty ones empty; repeated rows stay; an empty table gives no rows. Texts are scanned whole."""
@@ -153,8 +160,8 @@ def redact(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         spans = scanner().spans
-        for batch in batches:
-            texts = [t.as_py() for t in batch.column("text")]
+        for batch in _parts(batches, "text"):
+            texts = batch.column("text").to_pylist()
             new = [t if t is None or not (s := spans(t)) else redacted(t, s) for t in texts]
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             columns["text"] = pa.array(new, columns["text"].type)
