@@ -34,9 +34,12 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens: a row for each piece of a document. A null or empty text is its end mark alone; rows are packed each; a null doc_id stays null; an
     empty table gives no rows; other columns are left out."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED)
 
 
+#: Bytes of words that a worker remembers in packing: fewer than where packing has the workers to itself, as they still hold what earlier stages needed.
+REMEMBERED = 16 << 20
+
 STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", line_runs),
