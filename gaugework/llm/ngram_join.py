@@ -15,7 +15,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugework.llm import base
@@ -147,25 +147,48 @@ def _without(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, F.col(column) == F.col(ids.columns[0]), "left_anti")
 
 
-def packed(key: np.ndarray, rep: np.ndarray) -> bytes:
-    """Pairs of a signature and a document as bytes: 6 of the signature (one that agrees by chance joins two clusters more, no more than that), and the document's
+def packed(key: np.ndarray, rep: np.ndarray, kept: int = 6) -> bytes:
+    """Pairs of a signature and a document as bytes: `kept` of the signature (one that agrees by chance joins two clusters more, no more than that), and the document's
     distance from the least in as few as hold them all."""
     low = int(rep.min())
     away = (rep - low).astype(np.uint64)
     width = next(w for w in (1, 2, 4, 8) if w == 8 or int(away.max()) < 1 << 8 * w)
-    keys = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    keys = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :kept]
     return struct.pack("<IBq", len(key), width, low) + keys.tobytes() + away.astype(f"<u{width}").tobytes()
 
 
-def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(blob: bytes, kept: int = 6) -> tuple[np.ndarray, np.ndarray]:
     n, width, low = struct.unpack_from("<IBq", blob)
     at = struct.calcsize("<IBq")
     keys = np.zeros((n, 8), np.uint8)
-    keys[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, at).reshape(n, 6)
-    away = np.frombuffer(blob, f"<u{width}", n, at + 6 * n)
+    keys[:, :kept] = np.frombuffer(blob, np.uint8, kept * n, at).reshape(n, kept)
+    away = np.frombuffer(blob, f"<u{width}", n, at + kept * n)
     return keys.reshape(-1).view("<u8"), away.astype(np.int64) + low
 
 
+def dealt(key: np.ndarray, rep: np.ndarray, bucket: np.ndarray, kept: int = 6) -> pa.RecordBatch:
+    """Rows (bucket, rows), one of packed pairs for each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    key, rep, bucket = key[order], rep[order], bucket[order]
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    blobs = [packed(key[i:j], rep[i:j], kept) for i, j in zip(cuts, [*cuts[1:], len(key)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int64)), pa.array(blobs, pa.binary())], ["bucket", "rows"])
+
+
+def gathered(batches, kept: int = 6):
+    """(key, rep) of each bucket, from rows sorted by bucket."""
+    now, waiting = None, []
+    for batch in batches:
+        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("rows"), strict=True):
+            if bucket != now and waiting:
+                yield tuple(np.concatenate(x) for x in zip(*waiting, strict=True))
+                waiting = []
+            now = bucket
+            waiting.append(unpacked(blob.as_buffer().to_pybytes(), kept))
+    if waiting:
+        yield tuple(np.concatenate(x) for x in zip(*waiting, strict=True))
+
+
 def centers(key: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, rep) in order, whether a row is joined to a hub, and the hub (the least of its signature). The last bit of a key is 0 for hubs."""
     order = np.lexsort((rep, key))
@@ -199,32 +222,14 @@ def stars(docs: DataFrame, k: int, t: Threshold, n_rows: int) -> DataFrame:
                     star = base.mix(base.mix(center.astype(np.uint64)) + (other % salts).astype(np.uint64)) << np.uint64(1)
                 key = np.concatenate([key[~joined], star, star | np.uint64(1)]) & np.uint64((1 << 48) - 1)
                 rep = np.concatenate([rep[~joined], center, other])
-                bucket = (key >> np.uint64(1)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                key, rep, bucket = key[order], rep[order], bucket[order]
-                cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-                blobs = [packed(key[i:j], rep[i:j]) for i, j in zip(cuts, [*cuts[1:], len(key)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int64)), pa.array(blobs, pa.binary())], ["bucket", "rows"])
+                yield dealt(key, rep, (key >> np.uint64(1)) % np.uint64(buckets))
 
     def meet(batches):
-        now, waiting = None, []
-
-        def out():
-            key, rep = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        for key, rep in gathered(batches):
             _, rep, joined, center = centers(key, rep)
             edges = np.unique(np.stack([rep[joined], center[joined]]), axis=1)
             u, v = edges[:, edges[0] != edges[1]]
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-        for batch in batches:
-            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("rows"), strict=True):
-                if bucket != now and waiting:
-                    yield out()
-                    waiting = []
-                now = bucket
-                waiting.append(unpacked(blob.as_buffer().to_pybytes()))
-        if waiting:
-            yield out()
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     rows = docs.mapInArrow(base.trimmed(combine), "bucket long, rows binary")
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(base.trimmed(meet), "u long, v long").distinct()
@@ -390,13 +395,64 @@ def _blocked(members: DataFrame, key: list[str], bytes_each) -> DataFrame:
     return joined.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
 
 
+def repeated(texts: DataFrame, k: int, n_rows: int) -> DataFrame:
+    """rep, h, df: shingles (h, hashed with the cluster) that several of the documents (rep, root, text) of a cluster have, and how many have them. n_rows: about how
+    many shingles there are."""
+    buckets = max(base.parallelism(texts.sparkSession), -(-n_rows // BUCKET_ROWS))
+
+    def deal(batches):
+        for batch in batches:
+            for a, b, raw in _texts(batch, "text"):
+                sets = list(shingle_sets(raw, k))
+                size = [len(h) for h in sets]
+                with np.errstate(over="ignore"):
+                    h = base.mix(np.concatenate(sets) + base.mix(np.repeat(batch.column("root")[a:b].to_numpy().astype(np.uint64), size)))
+                if len(h):
+                    yield dealt(h, np.repeat(batch.column("rep")[a:b].to_numpy(), size), h % np.uint64(buckets), 8)
+
+    def count(batches):
+        for h, rep in gathered(batches, 8):
+            order = np.lexsort((rep, h))
+            h, rep = h[order], rep[order]
+            once = np.concatenate(([True], (h[1:] != h[:-1]) | (rep[1:] != rep[:-1])))  # a repeated row counts once
+            h, rep = h[once], rep[once]
+            _, at, df = np.unique(h, return_inverse=True, return_counts=True)
+            df = df[at]
+            some = df > 1
+            yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(h[some].view(np.int64)), pa.array(df[some].astype(np.int64))], ["rep", "h", "df"])
+
+    rows = texts.mapInArrow(base.trimmed(deal), "bucket long, rows binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(base.trimmed(count), "rep long, h long, df long")
+
+
+def parted(docs: DataFrame, members: DataFrame, k: int, t: Threshold) -> DataFrame:
+    """Clusters (node, root) into which links can part those of members (rep, root, n); a document that can't link is left out.
+
+    A document of n shingles shares ceil(n * num / den) of them at least with any that it links with. In one order of all shingles, here that of how many documents of the
+    cluster have them, the first shared one is thus among the first n - ceil(n * num / den) + 1 of either. So documents that share a passage alone part, as what very
+    many have comes last, and how often a passage recurs doesn't matter. Shingles of one document alone come first and join nothing."""
+    total = members.agg(F.sum("n")).first()[0]
+    rows = repeated(_chosen(docs, members.select("rep", "root").distinct()), k, total).join(members.select("rep", "n"), "rep")
+    rows = rows.withColumn("have", F.count("*").over(Window.partitionBy("rep", "n"))).withColumn("least", F.expr(f"(n * {t.num} + {t.den - 1}) div {t.den}"))
+    rows = rows.where("have >= least").withColumn("place", F.rank().over(Window.partitionBy("rep", "n").orderBy("df", "h"))).where("place <= have - least + 1")
+    first = base.written(rows.select("rep", "h"))
+    counted = base.written(first.groupBy("h").agg(F.min("rep").alias("v"), F.count("*").alias("n")).where("n > 1"))
+    return components(base.join_counted(first, counted, ["h"], first.count()).select(F.col("rep").alias("u"), "v"))
+
+
 def refined(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, k: int, t: Threshold) -> DataFrame:
-    """Clusters (node, root), of which those of more than BLOCK_SETS documents are cut along pairs beyond the bound. Members meet in size bands as points alone, an
-    eighth as many coordinates as shingles, which are far smaller than their sets."""
-    members = base.written(clusters.select(F.col("node").alias("rep"), "root").join(sizes, "rep"))
-    large = members.groupBy("root").count().where(F.col("count") > BLOCK_SETS).select("root")
-    if large.isEmpty():
-        return clusters
+    """Clusters (node, root), of which those of more than BLOCK_SETS documents are parted by what links must share, and what is left of that size is cut along pairs beyond
+    the bound. Members meet in size bands as points alone, an eighth as many coordinates as shingles, which are far smaller than their sets."""
+    found = clusters
+    for again in (False, True):
+        members = base.written(found.select(F.col("node").alias("rep"), "root").join(sizes, "rep"))
+        large = base.written(members.groupBy("root").count().where(F.col("count") > BLOCK_SETS).select("root"))
+        if large.isEmpty():
+            return found
+        if not again:
+            small = members.join(large, "root", "left_anti").select(F.col("rep").alias("node"), "root")
+            found = base.written(small.unionByName(parted(docs, members.join(large, "root", "left_semi"), k, t)))
+            base.release(docs.sparkSession)
 
     def banded(batches):
         for batch in batches:

@@ -137,3 +137,34 @@ def test_packed(spread):
     rep = rng.integers(-spread, spread, 50)
     a, b = ngram_join.unpacked(ngram_join.packed(key, rep))
     assert a.tolist() == key.tolist() and b.tolist() == rep.tolist()
+
+
+@pytest.mark.parametrize(("k", "num", "den"), [(3, 9, 10), (5, 4, 5), (2, 1, 2)])
+def test_parted_clusters_lose_no_link(spark, monkeypatch, k, num, den):
+    """All documents as one cluster, repeated rows too."""
+    rows = [(i, t) for i, t in corpus(k + 20) if t]
+    sets = {i: shingles(t, k) for i, t in rows}
+    docs = spark.createDataFrame(rows + rows[:9], "rep long, text string").repartition(3)
+    monkeypatch.setattr(ngram_join, "_source", lambda d: d.selectExpr("rep", "CAST(text AS binary) AS text"))
+    members = spark.createDataFrame([(i, -5, len(s)) for i, s in sets.items()], "rep long, root long, n long")
+    base.ship(spark)
+    root = dict(map(tuple, ngram_join.parted(docs, members, k, ngram_join.Threshold(num, den)).collect()))
+    linked = [(i, j) for i in sets for j in sets if i < j and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])]
+    assert linked and all(root[i] == root[j] for i, j in linked)
+
+
+def test_shared_passages_make_no_large_cluster(spark, monkeypatch):
+    """Texts that share passages alone, in a chain, are one cluster by their signatures; what meets in blocks must not grow with the square of it."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 20)
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passages = [words(80) for _ in range(60)]
+    rows = [(i, " ".join([words(60), passages[i % 60], words(60), passages[(i + 1 + i // 60) % 60]])) for i in range(180)]
+    rows.append((500, rows[3][1] + " more"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    t, source = ngram_join.Threshold(4, 5), ngram_join._source(docs)
+    sizes = ngram_join.digests(docs, 5).selectExpr("doc_id AS rep", "n")
+    found = ngram_join.components(ngram_join.stars(source, 5, t, 10_000))
+    assert max(r["count"] for r in found.groupBy("root").count().collect()) > 100
+    left = ngram_join.refined(docs, found, sizes, 5, t)
+    assert sorted(map(tuple, left.collect())) == [(3, 3), (500, 3)]
