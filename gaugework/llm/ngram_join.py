@@ -432,9 +432,13 @@ def parted(docs: DataFrame, members: DataFrame, k: int, t: Threshold) -> DataFra
     cluster have them, the first shared one is thus among the first n - ceil(n * num / den) + 1 of either. So documents that share a passage alone part, as what very
     many have comes last, and how often a passage recurs doesn't matter. Shingles of one document alone come first and join nothing."""
     total = members.agg(F.sum("n")).first()[0]
-    rows = repeated(_chosen(docs, members.select("rep", "root").distinct()), k, total).join(members.select("rep", "n"), "rep")
-    rows = rows.withColumn("have", F.count("*").over(Window.partitionBy("rep", "n"))).withColumn("least", F.expr(f"(n * {t.num} + {t.den - 1}) div {t.den}"))
-    rows = rows.where("have >= least").withColumn("place", F.rank().over(Window.partitionBy("rep", "n").orderBy("df", "h"))).where("place <= have - least + 1")
+    rows = repeated(_chosen(docs, members.select("rep", "root").distinct()), k, total)
+    # a row without h brings the size of its document: a join would look it up for each shingle
+    rows = rows.unionByName(members.select("rep", F.lit(None).cast("long").alias("h"), F.col("n").alias("df")))
+    whole = Window.partitionBy("rep")
+    rows = rows.withColumn("have", F.count("h").over(whole)).withColumn("n", F.min(F.when(F.col("h").isNull(), F.col("df"))).over(whole))
+    rows = rows.withColumn("least", F.expr(f"(n * {t.num} + {t.den - 1}) div {t.den}")).where("h IS NOT NULL AND have >= least")
+    rows = rows.withColumn("place", F.rank().over(whole.orderBy("df", "h"))).where("place <= have - least + 1")
     first = base.written(rows.select("rep", "h"))
     counted = base.written(first.groupBy("h").agg(F.min("rep").alias("v"), F.count("*").alias("n")).where("n > 1"))
     return components(base.join_counted(first, counted, ["h"], first.count()).select(F.col("rep").alias("u"), "v"))

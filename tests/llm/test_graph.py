@@ -2,7 +2,10 @@ from __future__ import annotations
 
 import random
 
-from gaugework.llm import base
+import numpy as np
+import pytest
+
+from gaugework.llm import base, graph
 from gaugework.llm.graph import components
 
 
@@ -34,3 +37,22 @@ def test_hubs(spark, monkeypatch):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long").repartition(3)).collect()))
     assert got.pop(20_000) == got.pop(20_001) == 20_000
     assert set(got) == {0, 5000, *range(2, 1500), *range(7000, 8500)} and set(got.values()) == {0}
+
+
+@pytest.mark.parametrize("few", [0, 30, 10**6])
+def test_few_edges_take_no_rounds(spark, monkeypatch, few):
+    """In rounds, in some rounds and then at once, or at once: the same result."""
+    monkeypatch.setattr(graph, "FEW", few)
+    rounds = []
+    star = graph._large_star
+    monkeypatch.setattr(graph, "_large_star", lambda *a: rounds.append(1) or star(*a))
+    test_components(spark)
+    test_hubs(spark, monkeypatch)
+    assert bool(rounds) == (few < 10**6)
+
+
+def test_roots_of_long_paths():
+    rng = np.random.default_rng(4)
+    name = rng.permutation(20_000)
+    nodes, root = graph.roots(name[:-1], name[1:])
+    assert nodes.tolist() == list(range(20_000)) and not root.any()
