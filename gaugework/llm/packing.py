@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,6 +28,7 @@ REMEMBERED = 56 << 20
 SLICE = 2 << 20
 #: Marks that are no letters, digits or apostrophes.
 MARKS = ".,;:!?"
+BEFORE_MARKS = re.compile(r"(?<=[a-z])(?=[.,;:!?]+(?:[ \n]|\Z))")
 # ---- fixed values: how a tokenizer must prepare texts so that its words can be encoded one by one, in lower case, and marks after a letter apart ----
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -47,30 +49,47 @@ class Words:
         self.tokenizer = Tokenizer.from_str(blob.decode())
         self.words = base.Remembered(remembered)
         self.by_word = by_word
+        self.special = {t["content"].lower() for t in json.loads(blob).get("added_tokens") or []}
 
     def learn(self, words: set[str]) -> None:
         """Ids of new words. Marks after a last letter are pieces of their own in any word, and case doesn't matter, so what is encoded is the word without them."""
-        parts = {}
+        parts, new = {}, set()
         for w in self.words.missing(words):
+            if w.isascii() and w.isalpha() and w.islower():
+                new.add(w)
+                continue
             core = w.rstrip(MARKS)
             if not core or not core[-1].isalpha():
                 core = w
             end = w[len(core):]
-            parts[w] = (core.lower() if core.isascii() and core.isalpha() else core, end)
+            core = core.lower() if core.isascii() and core.isalpha() else core
+            new.add(core)
+            new.add(end)
+            if end or core != w:
+                parts[w] = core, end
         known = self.words.known  # may be another generation now
-        new = [x for x in {x for pair in parts.values() for x in pair} if x not in known]
+        new = [x for x in new if x not in known]
         for i in range(0, len(new), 50_000):
             some = new[i:i + 50_000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.words.put(w, array("I", e.ids).tobytes())
         for w, (core, end) in parts.items():
-            if w != core:
-                self.words.put(w, known[core] + known[end])
+            self.words.put(w, known[core] + known[end])
+
+    def small(self, text: str) -> str:
+        """text, in lower case and with blanks before marks that end a word, where that changes no id, so that fewer words are new: in ASCII, where no special token stands,
+        which are looked for in texts as they are."""
+        if not text.isascii():
+            return text
+        lower = text.lower()
+        if any(t in lower for t in self.special):
+            return text
+        return BEFORE_MARKS.sub(" ", lower)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [self.small(t).replace("\n", " ").split(" ") for t in texts]
         self.learn(set().union(*split))
         known = self.words.known.__getitem__
         return [b"".join(map(known, s)) for s in split]

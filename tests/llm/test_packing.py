@@ -122,3 +122,16 @@ def test_dot_product_takes_what_fits_the_room_best():
         assert list(packer.offer(key, n, loss)) == []
     first = next(iter(packer.pack(0)))
     assert [k for k, _, _ in first] == ["loss", "tokens"]
+
+
+def test_plain_words_are_learned_once():
+    """Capitals and marks of ASCII texts make no new words, and change no id, also beside special tokens."""
+    with open(PATH, "rb") as f:
+        blob = f.read()
+    found = packing.Words(blob, packing.word_by_word(json.loads(blob)))
+    found.encode(["The end. THE End, the end?!\nthe. end"])
+    assert set(found.words.known) - {""} == {"the", "end", ".", ",", "?!"}
+    odd = ["A.B, c). It's, DON'T! x's. K9. (a),", "end.\tnext,\r\nlast:", " . a ,, b.", "Élan. The end,"]
+    odd += [f(f"The {t['content']} End, {t['content']}. x") for t in json.loads(blob)["added_tokens"] for f in (str, str.upper, str.lower)]
+    plain = Tokenizer.from_str(blob.decode()).encode_batch(odd, add_special_tokens=False)
+    assert [np.frombuffer(x, "<u4").tolist() for x in found.encode(odd)] == [e.ids for e in plain]
