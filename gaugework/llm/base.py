@@ -230,3 +230,7 @@ class Remembered:
     def put(self, key: str, value: bytes) -> None:
         self.known[key] = value
         self.used += self.ENTRY + (len(key) if key.isascii() else 4 * len(key)) + len(value)
+
+    def put_all(self, keys: list[str], values: list[bytes]) -> None:
+        self.known.update(zip(keys, values, strict=True))
+        self.used += self.ENTRY * len(keys) + sum(map(len, keys)) + sum(map(len, values)) + 3 * sum(len(k) for k in keys if not k.isascii())

@@ -4,8 +4,10 @@ open sequence is the one with the largest dot product of its needs and of the ro
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,7 +30,8 @@ REMEMBERED = 56 << 20
 SLICE = 2 << 20
 #: Marks that are no letters, digits or apostrophes.
 MARKS = ".,;:!?"
-BEFORE_MARKS = re.compile(r"(?<=[a-z])(?=[.,;:!?]+(?:[ \n]|\Z))")
+#: Plain words that the model encodes as one text.
+TOGETHER = 500
 # ---- fixed values: how a tokenizer must prepare texts so that its words can be encoded one by one, in lower case, and marks after a letter apart ----
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -36,6 +39,63 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = 2
 
 
+# ---- where a text in UTF-8 is cut into words, by the classes of neighbouring bytes ----
+_SPACE, _LETTER, _DIGIT, _MARK, _APOSTROPHE, _OTHER = range(6)
+
+
+def _classes() -> np.ndarray:
+    kind = np.full(256, _OTHER, np.uint8)
+    for i in range(33, 127):
+        c = chr(i)
+        kind[i] = _LETTER if c.isalpha() else _DIGIT if c.isdigit() else _APOSTROPHE if c == "'" else _MARK
+    kind[9:14] = kind[32] = _SPACE
+    return kind
+
+
+def _limits() -> np.ndarray:
+    """Whether a word starts between a byte of class a and one of class b, at 8 * a + b. Blanks stand before words. Letters, digits and marks are pieces of their own, but an
+    apostrophe can be one with what follows and with marks; what stands beside other bytes may be composed with them, so only blanks part these."""
+    cut = np.zeros((8, 8), bool)
+    for a in (_LETTER, _DIGIT, _MARK, _APOSTROPHE):
+        for b in (_LETTER, _DIGIT, _MARK, _APOSTROPHE):
+            cut[a, b] = a != b and {a, b} != {_MARK, _APOSTROPHE} and (a, b) != (_APOSTROPHE, _LETTER)
+    cut[:, _SPACE] = True
+    return cut.ravel()
+
+
+CLASSES, LIMITS = _classes(), _limits()
+
+
+def cut_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """Words of texts in UTF-8, most with a blank in front, ASCII letters in lower case where that can't change what they are composed with; and where in them each text starts."""
+    buf = np.frombuffer(bytearray(b" " + b" ".join(texts) + b" "), np.uint8)  # the last blank is no word
+    kind = CLASSES[buf]
+    buf[kind == _SPACE] = 32
+    lead = np.flatnonzero(buf == 0xC3)
+    lead = lead[(buf[lead + 1] != 0x97) & (buf[lead + 1] != 0xB7)]  # letters of Latin-1, without the signs for times and by
+    kind[lead] = kind[lead + 1] = _LETTER
+    upper = np.flatnonzero((buf >= 65) & (buf <= 90))
+    upper = upper[kind[upper + 1] != _OTHER]
+    buf[upper] += 32
+    start = np.flatnonzero(LIMITS[(kind[:-1] << 3) | kind[1:]]) + 1
+    start = np.concatenate(([0], start)).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_string(), len(start) - 1, [None, pa.py_buffer(start), pa.py_buffer(buf)])
+    begin = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    return words, np.concatenate(([0], np.searchsorted(start, begin)))
+
+
+def listed(words: pa.Array) -> list[str]:
+    """Words of cut_words, without the blanks before them."""
+    offsets, buf = np.frombuffer(words.buffers()[1], np.int64)[:len(words)], np.frombuffer(words.buffers()[2], np.uint8)
+    buf = np.insert(buf, offsets[buf[offsets] != 32], 32)
+    return buf.tobytes().decode().split(" ")[1:]
+
+
+def latin(word: str) -> bool:
+    """Whether all are letters of Latin-1, which stay what they are in NFC."""
+    return word.isalpha() and (word.isascii() or max(word) <= "\xff")
+
+
 class Words:
     """Ids of texts. By a tokenizer that never looks across blanks and line feeds and takes upper case as lower (told by its file, see NORMALIZERS and SPLIT), each distinct
     run between them is encoded once; by any other, texts are encoded whole."""
@@ -49,25 +109,42 @@ class Words:
         self.tokenizer = Tokenizer.from_str(blob.decode())
         self.words = base.Remembered(remembered)
         self.by_word = by_word
-        self.special = {t["content"].lower() for t in json.loads(blob).get("added_tokens") or []}
+        spec = json.loads(blob)
+        special = [t["content"] for t in spec.get("added_tokens") or []]
+        self.special = re.compile(b"|".join(re.escape(t.encode().lower()) for t in special) or rb"(?!)")
+        # The same model for words of small letters alone, which are one piece each and normal already; it ends each with a token that says so.
+        model = spec["model"]
+        self.plain, suffix = None, model.get("end_of_word_suffix")
+        if by_word and suffix and not model.get("dropout"):
+            steps = [{"type": "WhitespaceSplit"}, *spec["pre_tokenizer"]["pretokenizers"][1:]]
+            self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": steps}}))
+            self.plain.model._resize_cache(0)  # no word comes twice
+            self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+            self.ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
 
     def learn(self, words: set[str]) -> None:
         """Ids of new words. Marks after a last letter are pieces of their own in any word, and case doesn't matter, so what is encoded is the word without them."""
-        parts, new = {}, set()
+        parts, plain, new = {}, set(), set()
         for w in self.words.missing(words):
-            if w.isascii() and w.isalpha() and w.islower():
-                new.add(w)
+            if w.isalpha() and w.islower() and (w.isascii() or latin(w)):
+                plain.add(w)
                 continue
             core = w.rstrip(MARKS)
-            if not core or not core[-1].isalpha():
-                core = w
+            # a letter that isn't one character for ever, or a word that is never read as letters, keeps its marks
+            if not core or not core[-1].isalpha() or len(core[-1].lower()) > 1 or not unicodedata.is_normalized("NFC", core[-1]) or self.special.search(w.encode().lower()):
+                new.add(w)
+                continue
             end = w[len(core):]
-            core = core.lower() if core.isascii() and core.isalpha() else core
-            new.add(core)
+            if latin(core):
+                core = core.lower()
+                plain.add(core)
+            else:
+                new.add(core)
             new.add(end)
             if end or core != w:
                 parts[w] = core, end
         known = self.words.known  # may be another generation now
+        self.learn_plain([x for x in plain if x not in known])
         new = [x for x in new if x not in known]
         for i in range(0, len(new), 50_000):
             some = new[i:i + 50_000]
@@ -76,23 +153,36 @@ class Words:
         for w, (core, end) in parts.items():
             self.words.put(w, known[core] + known[end])
 
-    def small(self, text: str) -> str:
-        """text, in lower case and with blanks before marks that end a word, where that changes no id, so that fewer words are new: in ASCII, where no special token stands,
-        which are looked for in texts as they are."""
-        if not text.isascii():
-            return text
-        lower = text.lower()
-        if any(t in lower for t in self.special):
-            return text
-        return BEFORE_MARKS.sub(" ", lower)
+    def learn_plain(self, words: list[str]) -> None:
+        """Ids of new words of small letters of Latin-1: many as one text, where the model's tokens tell the last of each."""
+        for i in range(0, len(words), TOGETHER):
+            some = words[i:i + TOGETHER]
+            if self.plain:
+                ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+                last = np.flatnonzero(self.ends[ids]) + 1
+                if len(last) == len(some) and last[-1] == len(ids):
+                    data, at = ids.tobytes(), [0, *(4 * last).tolist()]
+                    self.words.put_all(some, [data[a:b] for a, b in itertools.pairwise(at)])
+                    continue
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.words.put(w, array("I", e.ids).tobytes())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [self.small(t).replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*split))
-        known = self.words.known.__getitem__
-        return [b"".join(map(known, s)) for s in split]
+        raw = [t.encode() for t in texts]
+        # Special tokens are looked for in texts as they are: such texts are parted by blanks alone.
+        whole = {i: texts[i].replace("\n", " ").split(" ") for i, t in enumerate(raw) if self.special.search(t.lower())}
+        words, first = cut_words([b"" if i in whole else t for i, t in enumerate(raw)])
+        words = words.dictionary_encode()
+        distinct = listed(words.dictionary)
+        self.learn(set(distinct).union(*whole.values()))
+        known = self.words.known
+        found = list(map(known.__getitem__, distinct))
+        offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))))
+        ids = pa.Array.from_buffers(pa.large_binary(), len(found), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(found))]).take(words.indices)
+        at, data = np.frombuffer(ids.buffers()[1], np.int64)[first].tolist(), memoryview(ids.buffers()[2] or b"")
+        return [b"".join(map(known.__getitem__, whole[i])) if i in whole else bytes(data[a:b]) for i, (a, b) in enumerate(itertools.pairwise(at))]
 
 
 def word_by_word(spec: dict) -> bool:

@@ -135,3 +135,35 @@ def test_plain_words_are_learned_once():
     odd += [f(f"The {t['content']} End, {t['content']}. x") for t in json.loads(blob)["added_tokens"] for f in (str, str.upper, str.lower)]
     plain = Tokenizer.from_str(blob.decode()).encode_batch(odd, add_special_tokens=False)
     assert [np.frombuffer(x, "<u4").tolist() for x in found.encode(odd)] == [e.ids for e in plain]
+
+
+def found():
+    with open(PATH, "rb") as f:
+        blob = f.read()
+    return packing.Words(blob, packing.word_by_word(json.loads(blob)))
+
+
+def test_letters_that_fall_apart_keep_their_marks():
+    """Normal forms of some letters end in a combining mark, which is one piece with the marks after it."""
+    words = found()
+    texts = [f"x{c}{m} y" for c in ("İ", "क़", "ਲ਼", "יִ", "̀", "K", "ẗ", "é") for m in (".", "?!", ",", "***")]
+    texts += ["H̱. H̱a É. Ế, a≠.", "1̸a."]
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts)] == [e.ids for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_signs_and_digits_make_no_new_words():
+    """Signs and digits beside ASCII and Latin-1 letters are words of their own; blanks of any kind part words."""
+    words = found()
+    texts = ["The end*** (the) END###\t\"the\" end99 9the\r\nÉté, été%%%", "don't o''clock 'tis x.'s dogs', '9 \x01a.b \x7f"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts[:1])]
+    assert set(words.words.known) - {""} == {"the", "end", "***", "(", ")", "###", '"', "99", "9", "Été", "été", ",", "%%%"}
+    got += [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts[1:])]
+    assert got == [e.ids for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_odd_texts_as_the_tokenizer_alone():
+    rng, words = random.Random(7), found()
+    signs = [chr(c) for c in (*range(256), 0x130, 0x17F, 0x301, 0x307, 0x331, 0x338, 0x345, 0x3A3, 0x958, 0x1100, 0x1161, 0x2028, 0x212A, 0x3000, 0xAC00, 0xFB01, 0x1F642)]
+    signs += ["<|endoftext|>", "<|ENDOFTEXT|>", "<|start", "oftext|>", "'s", "'LL", " ", " ", "\n", "The", "end"] * 4
+    texts = ["".join(rng.choice(signs) for _ in range(rng.choice([0, 1, 3, 9, 40]))) for _ in range(4000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts)] == [e.ids for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
